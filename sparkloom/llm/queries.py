@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import repetition, site_lines, split
+from sparkloom.llm import packing, repetition, site_lines, split, tokens
 from sparkloom.session import table
 
 
@@ -38,5 +38,22 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_site_lines(table(spark, sf_dir, "ingest_pages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tokens.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "size_limits"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_packed(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = packing.containers(_packed(spark, sf_dir)).groupBy("limit_name", "capacity")
+    return by.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("fill").alias("tokens")).withColumn("fill_share", F.col("tokens") / (F.col("n_containers") * F.col("capacity")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p7_ids, p8_containers, p8_fill)}
 ORACLES: dict[str, str] = {}
