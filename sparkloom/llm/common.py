@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +38,65 @@ def host_of(origin: Column) -> Column:
     """Host of an origin: without scheme, case, a leading ``www.``, and a trailing slash; null stays null."""
     bare = F.regexp_replace(F.lower(F.trim(origin)), r"^[a-z][a-z0-9+.\-]*://", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[/?#].*$", ""), r"^www\.", "")
+
+
+_TAG = re.compile(r"<[^>]*>")
+_WORDS = re.compile(WORD)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Codes(dict):
+    """64-bit codes of words, the same in every process; forgets all when it has a million, so its size is bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+CODES = Codes()
+
+
+def visible(markup: str) -> str:
+    """Visible text: each tag read as a space, entities decoded."""
+    text = _TAG.sub(" ", markup)
+    return html.unescape(text) if "&" in text else text
+
+
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    """Codes of words as unsigned 64-bit numbers."""
+    codes = CODES
+    return np.fromiter((codes[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+def shingles(codes: np.ndarray, run: int = 5) -> np.ndarray:
+    """Codes of the runs of ``run`` words, in order; empty for fewer words."""
+    n = len(codes) - run + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    h = codes[:n].copy()
+    for k in range(1, run):
+        h = h * _ODD + codes[k : k + n]
+    h ^= h >> np.uint64(31)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+class MinHash:
+    """Signatures of ``size`` minima, each under its own multiplier."""
+
+    def __init__(self, size: int, seed: int = 7) -> None:
+        self.odd = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One row of 32-bit minima for each set, none of which is empty."""
+        flat = np.concatenate(sets)
+        starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+        out = np.empty((len(sets), len(self.odd)), dtype=np.uint32)
+        for k, odd in enumerate(self.odd):
+            out[:, k] = np.minimum.reduceat(((flat * odd) >> np.uint64(32)).astype(np.uint32), starts)
+        return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import packing, repetition, site_lines, split, tokens
+from sparkloom.llm import near_pages, packing, repetition, site_lines, split, tokens
 from sparkloom.session import table
 
 
@@ -38,6 +38,14 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_site_lines(table(spark, sf_dir, "ingest_pages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pages.near_page_pairs(table(spark, sf_dir, "ingest_pages"), table(spark, sf_dir, "dedup_accepted"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pages.near_page_groups(table(spark, sf_dir, "ingest_pages"), table(spark, sf_dir, "dedup_accepted"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -55,5 +63,5 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("fill").alias("tokens")).withColumn("fill_share", F.col("tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p7_ids, p8_containers, p8_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p7_ids, p8_containers, p8_fill)}
 ORACLES: dict[str, str] = {}
