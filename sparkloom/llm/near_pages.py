@@ -41,6 +41,19 @@ def tolerance(similarity: float) -> int:
     return HASHES - int(HASHES * agree - 3.8 * (HASHES * agree * (1 - agree)) ** 0.5)
 
 
+def bit_words(signature: np.ndarray) -> list[np.ndarray]:
+    """The lowest and the second bit of each of the 64 values of each row, as two 64-bit numbers."""
+    places = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
+    return [(((signature >> np.uint32(k)) & np.uint32(1)).astype(np.uint64) @ places).view(np.int64) for k in (0, 1)]
+
+
+def prefixes(signature: np.ndarray, order: np.ndarray) -> pa.ListArray:
+    """For each row and each tree of ``order``, the row's values in the tree's order."""
+    flat = signature.view(np.int32)[:, order.reshape(-1)].reshape(-1)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, order.shape[1], dtype=np.int32)), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(signature) * len(order) + 1, len(order), dtype=np.int32)), inner)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash, order = MinHash(HASHES), np.array([positions(t) for t in range(TREES)])
     for batch in batches:
@@ -54,11 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ids:
             continue
         signature = minhash(sets)
-        bits = [((signature >> np.uint32(k)) & np.uint32(1)).astype(np.uint64) @ (np.uint64(1) << np.arange(HASHES, dtype=np.uint64)) for k in (0, 1)]
-        flat = signature.view(np.int32)[:, order.reshape(-1)].reshape(-1)
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, order.shape[1], dtype=np.int32)), pa.array(flat))
-        prefix = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * TREES + 1, TREES, dtype=np.int32)), inner)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), prefix, *(pa.array(b.view(np.int64)) for b in bits)], ["page_id", "digest", "prefix", "bits_a", "bits_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), prefixes(signature, order), *map(pa.array, bit_words(signature))], ["page_id", "digest", "prefix", "bits_a", "bits_b"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +96,11 @@ def _pairs(rows: DataFrame, differ: int, salted: bool) -> DataFrame:
     return left.join(right, on).where((F.col("a") < F.col("b")) & (different <= differ)).select("a", "b")
 
 
-def forest_candidates(signed: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs ``a < b`` of the forest over ``signed``, distinct."""
+def forest_candidates(signed: DataFrame, similarity: float, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """Candidate pairs ``a < b`` of the forest over ``signed``, distinct; crowded regions go on to the next of ``depths``."""
     todo = signed.select("page_id", "bits_a", "bits_b", F.posexplode("prefix").alias("tree", "values"))
     found, differ = [], tolerance(similarity)
-    for depth in DEPTHS:
+    for depth in depths:
         keyed = todo.withColumn("key", F.xxhash64("tree", F.slice("values", 1, depth)))
         crowd = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
         live = checkpoint(keyed.join(crowd, "key").select("key", "page_id", "bits_a", "bits_b", "tree", "values", "crowd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import near_pages, packing, repetition, site_lines, split, tokens
+from sparkloom.llm import near_pages, packing, repetition, site_lines, split, tokens, truncation
 from sparkloom.session import table
 
 
@@ -63,5 +63,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("fill").alias("tokens")).withColumn("fill_share", F.col("tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p7_ids, p8_containers, p8_fill)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).where("is_truncated").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation.source_rates(docs, truncation.truncated(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
 ORACLES: dict[str, str] = {}
