@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import near_pages, packing, repetition, site_lines, split, tokens, truncation
+from sparkloom.llm import near_pages, packing, repetition, residue, site_lines, split, tokens, truncation
 from sparkloom.session import table
 
 
@@ -46,6 +46,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pages.near_page_groups(table(spark, sf_dir, "ingest_pages"), table(spark, sf_dir, "dedup_accepted"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf_dir, "ingest_pages")).where("is_residue").select("page_id")
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = residue.without_residue(table(spark, sf_dir, "ingest_pages").select("page_id", "content_html", "failure_reason"))
+    return kept.select("page_id", F.char_length("content_html").alias("content_length"), "failure_reason").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -72,5 +81,5 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p6_found, p6_kept, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
 ORACLES: dict[str, str] = {}
