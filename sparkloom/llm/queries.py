@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import near_pages, packing, repetition, residue, site_lines, split, tokens, truncation
+from sparkloom.llm import main_body, near_pages, packing, repetition, residue, site_lines, split, tokens, truncation
 from sparkloom.session import table
 
 
@@ -46,6 +46,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pages.near_page_groups(table(spark, sf_dir, "ingest_pages"), table(spark, sf_dir, "dedup_accepted"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body.main_body_lines(table(spark, sf_dir, "ingest_pages"))
+
+
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body.main_body(table(spark, sf_dir, "ingest_pages"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_pages(table(spark, sf_dir, "ingest_pages")).where("is_residue").select("page_id")
 
@@ -81,5 +89,5 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p6_found, p6_kept, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_kept, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
 ORACLES: dict[str, str] = {}

@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import word_codes
+from sparkloom.llm.common import shingles, word_codes
+from sparkloom.llm.near_pages import overlap
 from sparkloom.operators.components import connected_components
 from sparkloom.session import checkpoint
 
-HAMMING, SIMILARITY = 3, 0.8
+HAMMING, SIMILARITY, RUN = 3, 0.8, 5
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = list(itertools.combinations(range(len(BLOCKS)), 2))
 #: A page whose words outside notices, headings and lists of links are no more than this consists of its notice.
@@ -112,12 +113,12 @@ def masked(text: str) -> str:
 
 
 def simhash(words: list[list[str]]) -> np.ndarray:
-    """SimHash-64 of each list of words, over the words and their adjacent pairs."""
+    """SimHash-64 of each list of words, over its runs of five words (a shorter list is one run)."""
     out = np.zeros(len(words), dtype=np.uint64)
     places = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for k in range(0, len(words), 2048):
-        part = [word_codes(w) for w in words[k : k + 2048]]
-        part = [np.concatenate([c, c[1:] * np.uint64(0x9E3779B97F4A7C15) + c[:-1]]) if len(c) else np.zeros(1, dtype=np.uint64) for c in part]
+        part = [shingles(word_codes(w), max(1, min(RUN, len(w)))) for w in words[k : k + 2048]]
+        part = [c if len(c) else np.zeros(1, dtype=np.uint64) for c in part]
         flat = np.concatenate(part)
         bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, np.cumsum([0, *(len(c) for c in part[:-1])]), axis=0, dtype=np.int32)
@@ -153,6 +154,12 @@ def table_keys(print_: Column) -> Column:
     return F.array(*(F.shiftleft(F.shiftleft(block[a], 13).bitwiseOR(block[b]), 4).bitwiseOR(F.lit(k)) for k, (a, b) in enumerate(TABLES)))
 
 
+def runs(text: Column) -> Column:
+    """Distinct runs of five words of a masked text; a shorter one is one run."""
+    words = F.split(text, " ")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(1))), lambda k: F.array_join(F.slice(words, k, RUN), " ")))
+
+
 def spread_labels(found: DataFrame) -> DataFrame:
     """``digest, label`` of every distinct segment that has a label of its own or gets one from its component.
 
@@ -166,9 +173,7 @@ def spread_labels(found: DataFrame) -> DataFrame:
     near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= HAMMING)).select("a", "b").distinct()
     texts = prints.select("digest", "plain")
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    words_a, words_b = F.array_distinct(F.split("ta", " ")), F.array_distinct(F.split("tb", " "))
-    common = F.size(F.array_intersect(words_a, words_b))
-    edges = both.where(common / (F.size(words_a) + F.size(words_b) - common) >= SIMILARITY).select("a", "b")
+    edges = both.where(overlap(runs(F.col("ta")), runs(F.col("tb"))) >= SIMILARITY).select("a", "b")
     members = connected_components(edges)
     labelled = members.join(prints.select(F.col("digest").alias("node"), "label"), "node")
     trusted = labelled.where(F.col("label") != NONE).groupBy("component").agg(F.min("label").alias("given"))
