@@ -35,15 +35,15 @@ def positions(tree: int) -> list[int]:
     return [(tree + k * (24 if k < 3 else 13 + tree % 7)) % HASHES for k in range(max(DEPTHS))]
 
 
-def tolerance(similarity: float) -> int:
-    """Most of the 64 two-bit values that may differ: 3.8 standard deviations beyond what ``similarity`` makes likely."""
+def tolerance(similarity: float, hashes: int = HASHES) -> int:
+    """Most of the two-bit values that may differ: 3.8 standard deviations beyond what ``similarity`` makes likely."""
     agree = similarity + (1 - similarity) / 4
-    return HASHES - int(HASHES * agree - 3.8 * (HASHES * agree * (1 - agree)) ** 0.5)
+    return hashes - int(hashes * agree - 3.8 * (hashes * agree * (1 - agree)) ** 0.5)
 
 
 def bit_words(signature: np.ndarray) -> list[np.ndarray]:
-    """The lowest and the second bit of each of the 64 values of each row, as two 64-bit numbers."""
-    places = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
+    """The lowest and the second bit of each of the (at most 64) values of each row, as two 64-bit numbers."""
+    places = np.uint64(1) << np.arange(signature.shape[1], dtype=np.uint64)
     return [(((signature >> np.uint32(k)) & np.uint32(1)).astype(np.uint64) @ places).view(np.int64) for k in (0, 1)]
 
 
@@ -96,10 +96,10 @@ def _pairs(rows: DataFrame, differ: int, salted: bool) -> DataFrame:
     return left.join(right, on).where((F.col("a") < F.col("b")) & (different <= differ)).select("a", "b")
 
 
-def forest_candidates(signed: DataFrame, similarity: float, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+def forest_candidates(signed: DataFrame, similarity: float, depths: tuple[int, ...] = DEPTHS, hashes: int = HASHES) -> DataFrame:
     """Candidate pairs ``a < b`` of the forest over ``signed``, distinct; crowded regions go on to the next of ``depths``."""
     todo = signed.select("page_id", "bits_a", "bits_b", F.posexplode("prefix").alias("tree", "values"))
-    found, differ = [], tolerance(similarity)
+    found, differ = [], tolerance(similarity, hashes)
     for depth in depths:
         keyed = todo.withColumn("key", F.xxhash64("tree", F.slice("values", 1, depth)))
         crowd = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
