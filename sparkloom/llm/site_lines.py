@@ -4,8 +4,11 @@ Each line's page frequency within a site is compared with its frequency outside
 the Benjamini-Hochberg rule over all lines of all sites controls the false discoveries. Significant lines
 with enough pages are anti-joined from the blocks, which are put together again by position.
 
-"Outside" means the pages of sites that do not themselves repeat the line: a notice that every site
-repeats is no evidence that the line is ordinary prose.
+Outside, a line counts where it stands on sites on which it is rare: a notice that many sites repeat is no
+evidence that the line is ordinary prose, nor is one that fills the few pages of a small site. Lines on fewer pages than a repeated line must have
+are not tested, so they take no part in the correction for multiple tests. To the outside pages a fixed
+number of pages without the line is added, the prior knowledge that a given line of ordinary text is rare;
+it decides where the collection is too small to show that, and fades where it is large.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from sparkloom.llm.common import block_lines, host_of
 
 #: Width of the bins of -log10(p) from which the discovery threshold is found; their number bounds what one task sorts.
 BIN, BINS = 0.02, 20000
+#: Pages without the line that are added to the outside.
+PRIOR_PAGES = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -52,9 +57,9 @@ def minus_log10_p(ratio: Column) -> Column:
 
 
 def line_statistics(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
-    """Per site and line: pages with it (``k``) of the site's pages (``n``), outside counts, the ratio and -log10 p.
+    """Per site and line on at least ``min_pages`` pages: pages with it (``k``) of the site's (``n``), outside counts, the ratio and -log10 p.
 
-    Every line of every site is counted once per page. The counts are combined before each shuffle, so one
+    Every line of every site is counted, once per page. The counts are combined before each shuffle, so one
     line on a third of all pages costs no more than another.
     """
     lines = lines_of(pages).select("host", "key", "page_id")
@@ -62,30 +67,28 @@ def line_statistics(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2
     sizes = pages.where("page_id is not null and origin is not null and size(blocks) > 0").select(host_of(F.col("origin")).alias("host"), "page_id").distinct().groupBy("host").agg(F.count("*").alias("n"))
     per = counts.join(sizes, "host").withColumn("repeated", (F.col("k") >= min_pages) & (F.col("k") >= F.col("n") * min_share))
     total = sizes.agg(F.sum("n").alias("all_pages")).scalar()
-    # A line that only one site has needs no outside count; lines of several sites are few beside all lines.
-    outside = per.groupBy("key").agg(F.sum(F.when(~F.col("repeated"), F.col("k")).otherwise(0)).alias("loose_k"), F.sum(F.when(F.col("repeated"), F.col("n")).otherwise(0)).alias("tight_n"))
-    stats = per.join(outside, "key").withColumn("all_pages", total)
-    k2 = F.when(F.col("repeated"), F.col("loose_k")).otherwise(F.col("loose_k") - F.col("k"))
-    n2 = F.col("all_pages") - F.col("tight_n") - F.when(F.col("repeated"), 0).otherwise(F.col("n"))
-    stats = stats.withColumns({"k2": k2.cast("double"), "n2": F.greatest(n2, F.lit(0)).cast("double")})
+    rare = F.col("k") < F.col("n") * min_share
+    outside = per.groupBy("key").agg(F.sum(F.when(rare, F.col("k")).otherwise(0)).alias("loose_k"))
+    stats = per.where(F.col("k") >= min_pages).join(outside, "key").withColumn("all_pages", total)
+    k2 = F.col("loose_k") - F.when(rare, F.col("k")).otherwise(0)
+    stats = stats.withColumns({"k2": k2.cast("double"), "n2": (F.col("all_pages") - F.col("n") + PRIOR_PAGES).cast("double")})
     k1, n1 = F.col("k").cast("double"), F.col("n").cast("double")
     stats = stats.withColumn("ratio", llr(k1, n1, F.col("k2"), F.col("n2")))
-    return stats.withColumn("score", F.when((F.col("n2") == 0) | (k1 / n1 > F.col("k2") / F.col("n2")), minus_log10_p(F.col("ratio"))).otherwise(F.lit(0.0)))
+    return stats.withColumn("score", F.when(k1 / n1 > F.col("k2") / F.col("n2"), minus_log10_p(F.col("ratio"))).otherwise(F.lit(0.0)))
 
 
 def significant_lines(stats: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """Lines that the Benjamini-Hochberg rule keeps at rate ``fdr``, over all lines of all sites.
+    """Lines that the Benjamini-Hochberg rule keeps at rate ``fdr``, over all tested lines of all sites.
 
     The threshold comes from counts by bins of the p-value, rounded to the safe side, so no task ranks all
-    lines. A site that is the whole collection has no outside; its lines have no ratio and the repetition
-    rule alone decides on them.
+    lines.
     """
     binned = stats.withColumn("bin", F.least(F.floor(F.col("score") / BIN), F.lit(BINS)).cast("int"))
     by = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = binned.groupBy("bin").agg(F.count("*").alias("c"))
     ranked = hist.withColumns({"rank": F.sum("c").over(by), "m": F.sum("c").over(Window.partitionBy())})
     first = ranked.where(F.pow(F.lit(10.0), -F.col("bin") * BIN) <= fdr * F.col("rank") / F.col("m")).agg(F.coalesce(F.min("bin"), F.lit(BINS + 1)).alias("first_bin")).scalar()
-    return binned.where((F.col("bin") >= first) | (F.col("n2") == 0)).drop("bin")
+    return binned.where(F.col("bin") >= first).drop("bin")
 
 
 def repeated_site_lines(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2, fdr: float = 0.05) -> DataFrame:
