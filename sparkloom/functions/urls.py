@@ -172,3 +172,25 @@ def report_path(p: Column) -> Column:
 
 def cache_key(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 24)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """Absolute form of links relative to a base URL, without fragments; null where there is none."""
+    def apply(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
+        known: dict[str, urlparse.Url | None] = {}
+        out = []
+        for raw, page in zip(hrefs, bases):
+            if isinstance(page, str) and page not in known:
+                known[page] = urlparse.parse(page)
+            url = urlparse.parse(raw, known.get(page)) if isinstance(raw, str) and raw.strip() else None
+            out.append(url.href() if url is not None else None)
+        return pd.Series(out, dtype="object")
+
+    apply.__annotations__ = {"hrefs": pd.Series, "bases": pd.Series, "return": pd.Series}
+    return F.pandas_udf(apply, "string")(href, base)
+
+
+def canonical_key(href: Column, page_url: Column, scope: Column) -> Column:
+    """Dedup key of a declared canonical link, if it is on the scope's site (``scope``: parsed parts)."""
+    target = url_parts(resolve(href, page_url))
+    return F.when(is_same_site(target, scope), dedup_key(target))

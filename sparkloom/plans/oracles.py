@@ -130,6 +130,7 @@ ORACLES: dict[str, str] = {
     "doc_exact_duplicates": f"WITH h AS (SELECT doc_id, {_HASH} AS k FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_of, doc_id = min(doc_id) OVER (PARTITION BY k) AS is_first FROM h",
     "ledger_near_pairs": rf"WITH r AS (SELECT DISTINCT page_id AS id, CAST('0x' || regexp_replace(lower(trim(simhash)), '^0x', '') AS UBIGINT) AS s FROM dedup_accepted WHERE content_length >= {config.NEAR_CHARS} AND regexp_matches(regexp_replace(lower(trim(simhash)), '^0x', ''), '^[0-9a-f]{{1,16}}$') AND page_id IS NOT NULL) SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.s, b.s)) AS INTEGER) AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.s, b.s)) <= {config.NEAR_HAMMING}",
     "section_quota": f"WITH {_FRONTIER} SELECT site, rank, url, section, outcome FROM decided",
+    "quota_report": f"WITH {_FRONTIER} SELECT site, section, count(*) FILTER (outcome = 'admitted') AS n_admitted, count(*) FILTER (outcome = 'section') AS n_by_section, count(*) FILTER (outcome = 'share') AS n_by_share FROM decided GROUP BY 1, 2",
     "budget_cut": f"WITH {_FRONTIER} SELECT site, place, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY rank) AS place FROM decided WHERE outcome = 'admitted') WHERE place <= 20",
     "reject_counters": f"WITH {_STATELESS} SELECT {', '.join(f'count(*) FILTER (reason = {r!r}) AS {r}' for r in config.REJECT_REASONS)} FROM judged",
     "reject_samples": f"WITH {_STATELESS} SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY seq) AS rank, seq, url, detail FROM judged WHERE reason IS NOT NULL QUALIFY rank <= {config.SAMPLES}",

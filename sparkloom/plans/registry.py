@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from sparkloom import config
 from sparkloom.functions import classify, extract, urls
 from sparkloom.functions import fingerprint as fp
-from sparkloom.operators import admission, dedup, reports, runs
+from sparkloom.operators import admission, dedup, frontier, reports, runs
 from sparkloom.plans.oracles import ORACLES
 from sparkloom.session import Query, table
 from sparkloom.sources import readers, writers
@@ -266,6 +266,19 @@ def section_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.quota_admission(rows.withColumn("rank", F.row_number().over(by)), CAPS).select("site", "rank", "url", "section", "outcome")
 
 
+@query
+def quota_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.quota_report(section_quota(spark, sf_dir))
+
+
+@query
+def initial_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First URLs of each site: its run's seed, then its documents' pages through the quotas, within 30 pages."""
+    seeds = table(spark, sf_dir, "crawl_runs").select(urls.seed_url(urls.url_parts(urls.clean_seed(F.col("seed")))).alias("url")).where("url is not null").distinct()
+    seeds = seeds.select(urls.hostname_key(urls.url_parts(F.col("url"))["host"]).alias("site"), F.lit(1).alias("position"), "url")
+    return frontier.initial_frontier(seeds, _frontier(spark, sf_dir).select("site", "url"), CAPS, 30)
+
+
 @query
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted URLs of each site within a budget of 20 pages."""
