@@ -160,7 +160,7 @@ def test_main_body(spark):
 
 
 @pytest.mark.parametrize(("markup", "want"), [
-    ("<p>a</p>\n<p>b\nc</p>", [[1], [2, 3]]), ("<tr><td>a</td><td>b</td></tr>", [[1]]), ("<script>\nx\n</script>\n<p>a<!-- \n --></p>b", [[4, 5]]), ("a <b>b</b>\nc", [[1, 2]]), ("<pre>x\n\ny</pre>", [[1, 3]]), ("", []), ("<p", [[1]]),
+    ("<p>a</p>\n<p>b\nc</p>", [[1], [2, 3]]), ("<tr><td>a</td><td>b</td></tr>", [[1]]), ("<script>\nx\n</script>\n<p>a<!-- \n --></p>b", [[4], [5]]), ("a <b>b</b>\nc", [[1, 2]]), ("<pre>x\n\ny</pre>", [[1, 3]]), ("", []), ("<p", [[1]]),
 ])
 def test_units(markup, want):
     assert [u.lines for u in main_body.units_of(markup)[0]] == want
