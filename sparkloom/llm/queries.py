@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import main_body, near_pages, packing, repetition, residue, site_lines, split, tokens, truncation
+from sparkloom.llm.sql import ORACLES
 from sparkloom.session import table
 
 
@@ -90,4 +91,5 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_share, p3_found, p3_lines, p3_clean, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_kept, p7_ids, p8_containers, p8_fill, p9_found, p9_sources)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
