@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sparkloom import config
 from sparkloom.config import EDITORIAL, EVIDENCE, OTHER, PRODUCT
 from sparkloom.functions import classify
+from sparkloom.operators.sequence import in_sequence
 
 
 def admission_order(collation: str = "UNICODE") -> list[Column]:
@@ -104,15 +105,11 @@ def admit_links(offers: DataFrame, caps: dict[str, int] | None = None, quotas: b
     """
     columns = ["site", "seq", "key", "tier", "section", "folder", "trap", "listed", "depth_exceeded", "locale_excluded"]
 
-    def apply(table: pa.Table) -> pa.Table:
-        gate, out = Gate(caps, quotas, directory), []
-        for row in sorted(table.to_pylist(), key=lambda r: r["seq"]):
-            state, rule = gate.offer(row)
-            out.append((row["site"], row["seq"], row["key"], state, rule, bool(state == "enqueued" and row["tier"] in (PRODUCT, EVIDENCE))))
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["site", "seq", "key", "state", "rule", "forefront"])
+    def decide(gate: Gate, row: dict) -> tuple:
+        state, rule = gate.offer(row)
+        return row["site"], row["seq"], row["key"], state, rule, state == "enqueued" and row["tier"] in (PRODUCT, EVIDENCE)
 
-    return offers.where("seq is not null").select(*columns).groupBy("site").applyInArrow(apply, OFFERS)
+    return in_sequence(offers, "site", "seq", columns, lambda: Gate(caps, quotas, directory), decide, OFFERS, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()])
 
 
 def ledger(decisions: DataFrame) -> DataFrame:

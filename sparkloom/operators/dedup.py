@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sparkloom import config
 from sparkloom.functions import fingerprint as fp
+from sparkloom.operators.sequence import in_sequence
 from sparkloom.session import checkpoint
 
 DECISION = "site string, seq long, outcome string, kept_seq long, distance int"
@@ -158,16 +159,10 @@ def dedup_site_pages(pages: DataFrame, hamming: int = config.NEAR_HAMMING, least
     """
     columns = ["site", "seq", "url_key", "alias_keys", "html_hash", "canonical_key", "content_hash", "simhash", "length", "raw_length"]
 
-    # Arrow, not pandas: a fingerprint in a column with nulls would become a float there.
-    def apply(table: pa.Table) -> pa.Table:
-        state, out = SiteState(hamming, least), []
-        for row in sorted(table.to_pylist(), key=lambda r: r["seq"]):
-            outcome, kept, apart = state.decide(row)
-            out.append((row["site"], row["seq"], outcome, kept, apart))
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["site", "seq", "outcome", "kept_seq", "distance"])
+    def decide(state: SiteState, row: dict) -> tuple:
+        return row["site"], row["seq"], *state.decide(row)
 
-    return pages.where("seq is not null").select(*columns).groupBy("site").applyInArrow(apply, DECISION)
+    return in_sequence(pages, "site", "seq", columns, lambda: SiteState(hamming, least), decide, DECISION, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()])
 
 
 def skip_counters(decisions: DataFrame) -> DataFrame:
