@@ -60,7 +60,8 @@ CODES = Codes()
 
 def visible(markup: str) -> str:
     """Visible text: each tag read as a space, entities decoded."""
-    text = _TAG.sub(" ", markup)
+    end = markup.rfind(">") + 1  # beyond it no tag can end, and each "<" would be followed to the end in vain
+    text = _TAG.sub(" ", markup[:end]) + markup[end:]
     return html.unescape(text) if "&" in text else text
 
 

@@ -68,7 +68,7 @@ _BLOCK = re.compile(r"\n|</?(?:p|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|d
 _TAGS = re.compile(r"<[^>]*>")
 _SPACE = re.compile(r"\s+")
 _HEADING = re.compile(r"<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", re.IGNORECASE | re.DOTALL)
-_LINKS = re.compile(r"<(ul|ol|nav)\b[^>]*>(?:\s*<li[^>]*>\s*<a\b[^>]*>[^<]*</a>\s*(?:</li>)?)+\s*</\1>", re.IGNORECASE)
+_LINKS = re.compile(r"<(ul|ol|nav)\b[^>]*>(?:\s*<li[^>]*>\s*<a\b[^>]*>[^<]*</a>(?:\s*</li>)?)+\s*</\1>", re.IGNORECASE)
 _PLACEHOLDER = re.compile(PLACEHOLDER)
 _WORDS = re.compile(r"[^\W_]+")
 NONE, HOLDER, FILLER, NOTICE, BESIDE = range(5)
