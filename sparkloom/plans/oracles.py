@@ -143,4 +143,20 @@ ORACLES: dict[str, str] = {
     "size_admission": f"WITH b AS (SELECT page_id, html, 512 + {' + '.join(f'coalesce(strlen({c}) + 24, 0)' for c in ('origin', 'url', 'final_url', 'content_html', 'title', 'excerpt', 'failure_reason'))} AS bare FROM ingest_pages) SELECT DISTINCT page_id, CASE WHEN bare + coalesce(strlen(html) + 24, 0) <= 12000 THEN 'whole' WHEN bare <= 12000 THEN 'without_html' ELSE 'refused' END AS admission, html IS NOT NULL AND bare + coalesce(strlen(html) + 24, 0) <= 12000 AS has_html FROM b",
     "link_batches": "WITH l AS (SELECT DISTINCT page_id, link_url FROM crawl_links WHERE page_id IS NOT NULL AND link_url IS NOT NULL), r AS (SELECT page_id, (row_number() OVER w - 1) // 5 AS a, (sum(strlen(link_url)) OVER w - 1) // 400 AS b FROM l WINDOW w AS (PARTITION BY page_id ORDER BY link_url ROWS UNBOUNDED PRECEDING)), d AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY a, b) AS batch FROM r) SELECT page_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_links FROM d GROUP BY 1, 2",
     "url_listing": "WITH p AS (SELECT page_id, min(url) AS url FROM ingest_pages WHERE page_id IS NOT NULL GROUP BY page_id ORDER BY page_id LIMIT 50 OFFSET 50) SELECT page_id, url, count(*) OVER () >= 50 AS has_more FROM p",
+    "doc_simhash": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+g AS (SELECT doc_id, sha256(array_to_string(words[i:i + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+b AS (SELECT doc_id, k, 2 * sum((CAST('0x' || substr(h, 1, 16) AS UBIGINT) >> CAST(k AS UBIGINT)) & 1) >= count(*) AS bit FROM g, range(64) r(k) GROUP BY 1, 2),
+d AS (SELECT doc_id, k // 4 AS digit, sum(CASE WHEN bit THEN 1 << (k % 4) ELSE 0 END) AS v FROM b GROUP BY 1, 2),
+x AS (SELECT doc_id, string_agg(substr('0123456789abcdef', CAST(v AS INTEGER) + 1, 1), '' ORDER BY digit DESC) AS simhash FROM d GROUP BY 1)
+SELECT w.doc_id, coalesce(x.simhash, repeat('0', 16)) AS simhash FROM w LEFT JOIN x ON x.doc_id = w.doc_id""",
+    "ledger_aliases": """WITH RECURSIVE learned AS (SELECT DISTINCT page_id AS seq, unnest(list_prepend(requested_url_key, coalesce(alias_keys, []))) AS variant, coalesce(final_url_key, requested_url_key) AS rep FROM dedup_accepted),
+edges AS (SELECT variant, arg_max(rep, seq) AS rep FROM learned WHERE variant IS NOT NULL AND rep IS NOT NULL AND variant <> '' AND rep <> '' AND variant <> rep GROUP BY variant),
+walk AS (SELECT variant AS key, variant AS node, 0 AS n, [variant] AS seen FROM edges UNION ALL SELECT key, e.rep, n + 1, list_append(seen, e.rep) FROM walk JOIN edges e ON e.variant = walk.node WHERE n < 16 AND NOT list_contains(seen, e.rep))
+SELECT key, arg_max(node, n) AS resolved FROM walk GROUP BY key""",
+    "run_records": f"""WITH {_LAST_RUN} SELECT run_id, regexp_replace(regexp_replace(trim(seed), '#.*$', ''), '^(https?://[^/]+)/$', '\\1') AS seed, crawl_type, status,
+CASE WHEN status = 'complete' THEN 'finished' WHEN status = 'failed' THEN 'stopped by an error' WHEN status = 'cancelled' THEN 'stopped by an operator' WHEN status IN ('pending', 'running') THEN 'in progress' ELSE coalesce(status, 'unknown') END AS status_text, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, pages_saved FROM runs""",
+    "seed_report": f"""WITH {_LAST_RUN}, r AS (SELECT run_id, seed, status, pages_saved, {_ORIGIN_KEY.format(c='seed')} AS k FROM runs), tally AS (SELECT run_id, {_ORIGIN_KEY.format(c='origin')} AS k, count(DISTINCT page_id) AS n FROM ingest_pages GROUP BY 1, 2),
+paths AS (SELECT seed, max(pages_saved) * 2 AS n_paths FROM r GROUP BY 1), j AS (SELECT r.run_id, r.seed, r.status, coalesce(t.n, CASE WHEN pages_saved % 3 = 0 THEN pages_saved END, CASE WHEN pages_saved % 2 = 0 THEN pages_saved + 1 END, pages_saved, 0) AS n_pages,
+CASE WHEN pages_saved % 3 = 0 THEN 'host stopped' WHEN r.status = 'failed' THEN 'run failed' END AS reason, n_paths FROM r LEFT JOIN tally t ON t.run_id = r.run_id AND t.k = r.k LEFT JOIN paths p ON p.seed = r.seed)
+SELECT *, CASE WHEN n_paths > 0 THEN CAST(CAST(least(100, floor(n_pages * 100.0 / least(n_paths, {config.MAX_PAGES}) + 0.5)) AS INTEGER) AS VARCHAR) || '%' ELSE status END AS completed FROM j""",
 }

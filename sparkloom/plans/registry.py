@@ -368,7 +368,7 @@ def failure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct run records in normal form, with the status in words."""
-    return runs.normal_runs(table(spark, sf_dir, "crawl_runs")).select("run_id", urls.seed_url(urls.url_parts(urls.clean_seed(F.col("seed")))).alias("seed"), "crawl_type", "status", reports.status_text(F.col("status")).alias("status_text"), "created_at", "pages_saved")
+    return runs.normal_runs(table(spark, sf_dir, "crawl_runs")).select("run_id", urls.seed_url(urls.url_parts(urls.clean_seed(F.col("seed")))).alias("seed"), "crawl_type", "status", reports.status_text(F.col("status")).alias("status_text"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "pages_saved")
 
 
 def _presence(rows: DataFrame) -> DataFrame:
