@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +104,20 @@ class MinHash:
         for k, odd in enumerate(self.odd):
             out[:, k] = np.minimum.reduceat(((flat * odd) >> np.uint64(32)).astype(np.uint32), starts)
         return out
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``most`` bytes of text in ``column``, so that long texts do not make large work arrays.
+
+    A batch without rows gives none; one text over the limit is a slice by itself.
+    """
+    for batch in batches:
+        if not len(batch):
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import MinHash, shingles, visible, word_codes, words_of
+from sparkloom.llm.common import MinHash, shingles, small, visible, word_codes, words_of
 from sparkloom.operators.components import connected_components
 from sparkloom.session import checkpoint
 
@@ -56,7 +56,7 @@ def prefixes(signature: np.ndarray, order: np.ndarray) -> pa.ListArray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash, order = MinHash(HASHES), np.array([positions(t) for t in range(TREES)])
-    for batch in batches:
+    for batch in small(batches, 1):
         ids, sets, digests = [], [], []
         for page, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             grams = np.unique(shingles(word_codes(words_of(visible(markup)))))
@@ -71,7 +71,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 1):
         sets = [np.unique(shingles(word_codes(words_of(visible(m))))).view(np.int64) for m in batch.column(1).to_pylist()]
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())

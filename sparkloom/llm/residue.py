@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shingles, word_codes
+from sparkloom.llm.common import shingles, small, word_codes
 from sparkloom.llm.near_pages import overlap
 from sparkloom.operators.components import connected_components
 from sparkloom.session import checkpoint
@@ -132,7 +132,7 @@ SEGMENTS = "page_id long, digest binary, label int, n_words int, heading boolean
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
-    for batch in batches:
+    for batch in small(batches, 1):
         rows: list[tuple] = []
         for page, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for text, heading in segments(content):

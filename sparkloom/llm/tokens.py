@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small
+
 #: Bytes that the rolling hash sees, mean distance of landmarks (a power of two), shortest chunk worth sharing.
 WINDOW, SPACING, SHORTEST = 32, 512, 64
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -136,7 +138,7 @@ _PART = "struct<start:int,n_bytes:int,digest:binary,lead:int,`end`:int,head:int,
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, start, n_bytes, digest`` of each chunk."""
-    for batch in batches:
+    for batch in small(batches, 1):
         ids = batch.column(0).to_pylist()
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
         found = [(ids[k], a, b - a, xxhash.xxh3_128_digest(texts[k][a:b])) for k, a, b in chunks(texts) if b - a >= SHORTEST]
@@ -160,7 +162,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, ids: str = "do
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
-        for batch in batches:
+        for batch in small(batches, 3):
             rows = []
             for digest, start, size, t in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = t.encode("utf-8", "replace")[start : start + size]
@@ -174,7 +176,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str | None = None, ids: str = "do
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
-        for batch in batches:
+        for batch in small(batches, 1):
             offsets, flat = [0], []
             parts = batch.column(2).to_pylist() if batch.column(2).null_count < len(batch) else [None] * len(batch)
             for t, shared in zip(batch.column(1).to_pylist(), parts):
@@ -209,7 +211,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, ids: str = "doc
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
-        for batch in batches:
+        for batch in small(batches, 1):
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
