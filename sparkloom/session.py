@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +26,4 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def rename_clash(df: DataFrame, names: set[str]) -> DataFrame:
-    """Put aside columns of ``df`` whose names (case ignored) an operator needs for itself."""
-    for column in df.columns:
-        if column.lower() in names:
-            df = df.withColumnRenamed(column, f"{column}__in")
-    return df
-
-
-def env(name: str, default: str) -> str:
-    return os.environ.get(name, default)
-
-
 Query = Callable[[SparkSession, str], DataFrame]
-Registry = dict[str, Any]
