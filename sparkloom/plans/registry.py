@@ -479,3 +479,6 @@ def stream_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the outcome stream that stop."""
     return _run_stream(spark, stateful.stream_abort(_outcome_stream(_event_stream(spark, sf_dir))))
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
