@@ -2,9 +2,10 @@
 
 Pages are cut into segments (block elements without code). A segment is trusted residue if it matches a
 fixed pattern of a placeholder syntax, or is as a whole a known filler, error or script notice. All
-distinct segments are then compared by SimHash: five blocks of the 64 bits give ten tables of two blocks,
-in one of which any two fingerprints at a Hamming distance of three or less agree. Verified pairs (Hamming
-distance, then similarity of the texts) form components, and a component takes its trusted label.
+distinct segments of five words or more are then compared by min-hash: ten bands of four values, in one of
+which two segments at a similarity of 0.8 agree with probability 0.995. SimHash sorts out candidates inside
+the join, wide enough for that similarity. Verified pairs (similarity of the texts) form components, and a
+component takes its trusted label.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shingles, small, word_codes
+from sparkloom.llm.common import MinHash, shingles, small, word_codes
 from sparkloom.llm.near_pages import overlap
 from sparkloom.operators.components import connected_components
 from sparkloom.session import checkpoint
 
-HAMMING, SIMILARITY, RUN = 3, 0.8, 5
+SIMILARITY, RUN = 0.8, 5
+#: Min-hash bands, values of each; bits of SimHash that candidates may differ in (usual at 0.8: 5 to 12; unrelated: 32).
+BANDS, ROWS, HAMMING = 10, 4, 24
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = list(itertools.combinations(range(len(BLOCKS)), 2))
 #: A page whose words outside notices, headings and lists of links are no more than this consists of its notice.
@@ -112,19 +115,34 @@ def masked(text: str) -> str:
     return " ".join("0" if w.isdigit() else w for w in _WORDS.findall(text.lower()))
 
 
+def run_codes(words: list[list[str]]) -> list[np.ndarray]:
+    """Codes of the runs of five words of each list (a shorter list is one run, an empty one the code 0)."""
+    part = [shingles(word_codes(w), max(1, min(RUN, len(w)))) for w in words]
+    return [c if len(c) else np.zeros(1, dtype=np.uint64) for c in part]
+
+
+def _majority(part: list[np.ndarray]) -> np.ndarray:
+    places = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    bits = np.unpackbits(np.concatenate(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum([0, *(len(c) for c in part[:-1])]), axis=0, dtype=np.int32)
+    sizes = np.array([len(c) for c in part])
+    return ((2 * ones >= sizes[:, None]).astype(np.uint64) @ places).astype(np.uint64)
+
+
 def simhash(words: list[list[str]]) -> np.ndarray:
     """SimHash-64 of each list of words, over its runs of five words (a shorter list is one run)."""
-    out = np.zeros(len(words), dtype=np.uint64)
-    places = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for k in range(0, len(words), 2048):
-        part = [shingles(word_codes(w), max(1, min(RUN, len(w)))) for w in words[k : k + 2048]]
-        part = [c if len(c) else np.zeros(1, dtype=np.uint64) for c in part]
-        flat = np.concatenate(part)
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum([0, *(len(c) for c in part[:-1])]), axis=0, dtype=np.int32)
-        sizes = np.array([len(c) for c in part])
-        out[k : k + 2048] = ((2 * ones >= sizes[:, None]).astype(np.uint64) @ places).astype(np.uint64)
-    return out
+    parts = [_majority(run_codes(words[k : k + 2048])) for k in range(0, len(words), 2048)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def band_keys(part: list[np.ndarray], minhash: MinHash) -> np.ndarray:
+    """Keys of each set of runs in the bands, one row for each set."""
+    values = minhash(part).astype(np.uint64).reshape(len(part), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(part), BANDS)).copy()
+    for k in range(ROWS):
+        keys = (keys + values[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
 
 SEGMENTS = "page_id long, digest binary, label int, n_words int, heading boolean, plain string"
@@ -143,13 +161,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = simhash([t.split(" ") if t else [] for t in batch.column(2).to_pylist()])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], ["digest", "label", "plain", "print"])
+    minhash = MinHash(BANDS * ROWS, 6)
+    for whole in batches:
+        for batch in (whole.slice(k, 2048) for k in range(0, len(whole), 2048)):
+            words = [t.split(" ") if t else [] for t in batch.column(2).to_pylist()]
+            part = run_codes(words)
+            keys = [row if len(w) >= RUN else [] for row, w in zip(band_keys(part, minhash).tolist(), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_majority(part).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["digest", "label", "plain", "print", "bands"])
 
 
 def table_keys(print_: Column) -> Column:
-    """Keys of a fingerprint in the ten tables."""
+    """Keys of a fingerprint in ten tables of two blocks, in one of which any two at a Hamming distance of three or less agree."""
     block = [F.shiftrightunsigned(print_, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
     return F.array(*(F.shiftleft(F.shiftleft(block[a], 13).bitwiseOR(block[b]), 4).bitwiseOR(F.lit(k)) for k, (a, b) in enumerate(TABLES)))
 
@@ -163,12 +185,12 @@ def runs(text: Column) -> Column:
 def spread_labels(found: DataFrame) -> DataFrame:
     """``digest, label`` of every distinct segment that has a label of its own or gets one from its component.
 
-    ``found``: ``digest, label, plain``, one row per distinct segment. In each table a segment without a
-    label is compared with those in its bucket; every bucket is an equi-join on a 26-bit key of distinct
-    segments, so copies of one segment, however many, are one row.
+    ``found``: ``digest, label, plain``, one row per distinct segment. Segments are compared within the
+    buckets of each band, an equi-join on a 64-bit key of distinct segments, so copies of one segment,
+    however many, are one row. A segment of fewer than five words is a single run and like no other.
     """
-    prints = checkpoint(found.mapInArrow(_fingerprints, "digest binary, label int, plain string, print long"))
-    rows = prints.select(F.col("digest").alias("d"), F.col("print").alias("p"), F.explode(table_keys(F.col("print"))).alias("key"))
+    prints = checkpoint(found.mapInArrow(_fingerprints, "digest binary, label int, plain string, print long, bands array<long>"))
+    rows = prints.select(F.col("digest").alias("d"), F.col("print").alias("p"), F.explode("bands").alias("key"))
     left, right = rows.toDF("a", "pa", "key"), rows.toDF("b", "pb", "key")
     near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= HAMMING)).select("a", "b").distinct()
     texts = prints.select("digest", "plain")

@@ -149,3 +149,15 @@ def test_tables_find_all_within_three_bits(spark):
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
     rows = df.select(residue.table_keys(df["a"]).alias("x"), residue.table_keys(df["b"]).alias("y")).collect()
     assert all(set(r["x"]) & set(r["y"]) for r in rows)
+
+
+def test_labels_spread_to_short_texts_with_a_changed_word(spark):
+    rng, rows, want = random.Random(16), [], 0
+    for k in range(60):
+        base = [rng.choice(VOCABULARY) for _ in range(rng.randrange(28, 60))]
+        other = [*base[:-1], "different"] if k % 2 else ["different", "words", *base]
+        rows += [(bytes([k, 0]), residue.NOTICE, " ".join(base)), (bytes([k, 1]), residue.NONE, " ".join(other))]
+        want += 1
+    rows += [(b"s1", residue.NOTICE, "four words and no"), (b"s2", residue.NONE, "four words and more"), (b"e", residue.NONE, "")]
+    got = {bytes(r["digest"]) for r in residue.spread_labels(spark.createDataFrame(rows, "digest binary, label int, plain string")).where(f"label = {residue.NOTICE}").collect()}
+    assert sum(bytes([k, 1]) in got for k in range(60)) == want and not got & {b"s2", b"e"}
