@@ -3,9 +3,9 @@
 Each page has a signature of 64 min-hashes of its runs of five words, and stands in 24 orders ("trees"), in
 each of which the signature's values come in another sequence. Pages that share a prefix in some order are
 neighbours there. The prefix is as short as the region allows: one value where few pages share it, more
-values where many do, so crowded regions (a site's frame, a much copied page) are split further while
-sparse ones keep their full recall. Two bits of each min-hash sort out most candidates inside the join;
-the exact overlap of the sets of runs decides.
+values, three at most, where many do; what is crowded even then is compared completely, with salt. So 24
+trees find a pair at similarity 0.6 with probability 0.997 however crowded its surroundings are. Two bits of
+each min-hash sort out most candidates inside the join; the exact overlap of the sets of runs decides.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from sparkloom.llm.common import MinHash, shingles, small, visible, word_codes,
 from sparkloom.operators.components import connected_components
 from sparkloom.session import checkpoint
 
-HASHES, TREES, DEPTHS = 64, 24, (1, 2, 3, 6)
+HASHES, TREES, DEPTHS = 64, 24, (1, 2, 3)
 #: A region of more pages than this is split by a longer prefix.
 CROWD = 40
 #: Parts into which one side of a region is split that is crowded even at the longest prefix.
@@ -31,8 +31,8 @@ SIGNED = "page_id long, digest binary, prefix array<array<int>>, bits_a long, bi
 
 
 def positions(tree: int) -> list[int]:
-    """Places of the signature that a tree compares, in its order: first a place of its own, then others spread over the rest."""
-    return [(tree + k * (24 if k < 3 else 13 + tree % 7)) % HASHES for k in range(max(DEPTHS))]
+    """Places of the signature that a tree compares, in its order: first a place of its own, then others."""
+    return [(tree + k * 24) % HASHES for k in range(max(DEPTHS))]
 
 
 def tolerance(similarity: float, hashes: int = HASHES) -> int:

@@ -1,6 +1,6 @@
 """Problem 9: texts cut off before their end.
 
-Near-copies are found by min-hash banding (bands of three values; a crowded band is split by three more),
+Near-copies are found by min-hash banding (bands of three values, each compared completely),
 verified pairs are aligned at their beginning, and the copy whose alignment ends early, inside a word or a
 sentence, is flagged. The other texts without a closing mark are scored by the terminality of their
 closing word: how often, in the whole corpus, that word stands at the end of a line or a sentence.
@@ -22,9 +22,9 @@ from sparkloom.llm.common import MinHash, shingles, small, word_codes, words_of
 from sparkloom.llm.near_pages import bit_words, forest_candidates
 from sparkloom.session import checkpoint
 
-#: Bands of three values; a crowded band goes on with the next one's three.
+#: Bands of three values.
 BANDS, ROWS = 12, 3
-HASHES, DEPTHS = BANDS * ROWS, (ROWS, 2 * ROWS)
+HASHES, DEPTHS = BANDS * ROWS, (ROWS,)
 #: Closing words that end lines or sentences at least this often end a text, by the kind of its last line (of an item,
 #: with one more end than seen, so that a rare word is not taken for one that needs a continuation).
 PROSE_ENDS, ITEM_ENDS = 0.8, 0.02
@@ -148,8 +148,7 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
 
     # One document for each text, and pairs of texts of which the shorter has no closing mark.
     single = each.where("signature is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "signature", "bits_a", "bits_b")).alias("x")).select("digest", "x.*")
-    around = F.concat("signature", F.slice("signature", 1, ROWS))
-    banded = single.select(F.col("doc_id").alias("page_id"), "bits_a", "bits_b", F.array(*(F.slice(around, ROWS * k + 1, 2 * ROWS) for k in range(BANDS))).alias("prefix"))
+    banded = single.select(F.col("doc_id").alias("page_id"), "bits_a", "bits_b", F.array(*(F.slice("signature", ROWS * k + 1, ROWS) for k in range(BANDS))).alias("prefix"))
     pairs = forest_candidates(banded, similarity, DEPTHS, HASHES)
     facts = each.select("doc_id", "state", "n_words")
     pairs = pairs.join(facts.toDF("a", "state_a", "n_a"), "a").join(facts.toDF("b", "state_b", "n_b"), "b")

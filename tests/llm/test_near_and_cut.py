@@ -161,3 +161,19 @@ def test_labels_spread_to_short_texts_with_a_changed_word(spark):
     rows += [(b"s1", residue.NOTICE, "four words and no"), (b"s2", residue.NONE, "four words and more"), (b"e", residue.NONE, "")]
     got = {bytes(r["digest"]) for r in residue.spread_labels(spark.createDataFrame(rows, "digest binary, label int, plain string")).where(f"label = {residue.NOTICE}").collect()}
     assert sum(bytes([k, 1]) in got for k in range(60)) == want and not got & {b"s2", b"e"}
+
+
+def test_crowded_family_of_loose_copies(spark):
+    rng = np.random.Generator(np.random.PCG64(17))
+    # Many pages of one family, any two at a similarity of about 0.6 to 0.7: all regions are crowded.
+    core = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    sets = [np.concatenate([core[rng.random(500) < 0.79], rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(400)]
+    signature = near_pages.MinHash(near_pages.HASHES)(sets)
+    order = np.array([near_pages.positions(t) for t in range(near_pages.TREES)])
+    a, b = near_pages.bit_words(signature)
+    rows = list(zip(range(len(sets)), near_pages.prefixes(signature, order).to_pylist(), a.tolist(), b.tolist()))
+    df = spark.createDataFrame(rows, "page_id long, prefix array<array<int>>, bits_a long, bits_b long")
+    got = {tuple(r) for r in near_pages.forest_candidates(df, 0.6).collect()}
+    held = [set(x.tolist()) for x in sets]
+    want = {(x, y) for x, y in itertools.combinations(range(len(sets)), 2) if len(held[x] & held[y]) >= 0.6 * len(held[x] | held[y])}
+    assert len(want) > 20_000 and len(got & want) >= 0.99 * len(want)
