@@ -27,7 +27,7 @@ from sparkloom.session import checkpoint
 RUN, COVERED = 6, 0.75
 #: A run or line is boilerplate on a host if so many distinct pages, and this share of them, have it.
 LEAST_PAGES, HOST_SHARE = 3, 0.08
-#: Share of all pages, and number of hosts, from which a masked line is boilerplate everywhere.
+#: Share of all distinct contents, and number of hosts, from which a masked line is boilerplate everywhere.
 ALL_SHARE, LEAST_HOSTS = 0.01, 5
 #: Pages of a host that one suffix array holds; larger hosts are divided into blocks of about this size.
 BLOCK = 128
@@ -219,7 +219,7 @@ def _body(units: list[Unit], holders: list[tuple[int, str]], heading: int, known
     return body
 
 
-UNITS = "page_id long, host string, block int, title binary, lines array<int>, key binary, gaps array<binary>, keep boolean"
+UNITS = "page_id long, host string, block int, title binary, lines array<int>, key binary, gaps array<binary>, keep boolean, always boolean"
 
 
 def _digest(tokens: list[str]) -> bytes:
@@ -281,15 +281,18 @@ def _hosts(table: pa.Table) -> pa.Table:
     for k, (page, units, holders, heading) in enumerate(parsed):
         share = [(total[b] - total[a]) / (b - a) if b > a else 0.0 for a, b, _ in spans[k]]
         body = _body(units, holders, heading, known, share)
-        digest = _digest([titles[k]])
+        # The host's name is no part of the content: a page copied to other hosts counts once.
+        parts = re.split(r"\s+[|–—·-]\s+", titles[k])
+        digest = _digest(parts[:-1] if len(parts) > 1 and brand and brand.issuperset(w for w in _TOKEN.findall(parts[-1]) if len(w) > 2) else parts)
         for u, c, (_, _, words) in zip(units, share, spans[k]):
             text = "".join(u.text).strip()
             if u.holder not in body or not text or _INSERT.fullmatch(text):
                 continue
             repeated = c >= COVERED or (0 < len(words) < 2 * RUN and have[tuple(words)] >= least)
-            rows.append((page, host, block, digest, u.lines, _digest(words), _gap_keys(words), u.code or u.head == 1 or not repeated))
-    types = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.bool_())
-    columns = list(zip(*rows)) if rows else [()] * 8
+            always = u.code or u.head == 1
+            rows.append((page, host, block, digest, u.lines, _digest(words), _gap_keys(words), always or not repeated, always))
+    types = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.bool_(), pa.bool_())
+    columns = list(zip(*rows)) if rows else [()] * 9
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in UNITS.split(", ")])
 
 
@@ -315,13 +318,14 @@ def main_body_lines(pages: DataFrame) -> DataFrame:
     """
     units = checkpoint(body_units(pages))
     left = units.where("keep")
-    n_pages = units.select("page_id").distinct().agg(F.count("*").alias("n")).scalar()
-    # Shares are of all units, those that a host's own runs cover included.
-    keys = units.select("page_id", "host", F.explode(F.concat(F.array("key"), "gaps")).alias("key"))
-    common = keys.groupBy("key", "host").agg(F.count_distinct("page_id").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("hosts"))
-    common = common.where((F.col("hosts") >= LEAST_HOSTS) & (F.col("c") >= F.greatest(F.lit(LEAST_HOSTS), n_pages * ALL_SHARE))).select("key")
+    n_contents = units.select("title").distinct().agg(F.count("*").alias("n")).scalar()
+    # Shares are of all units, those that a host's own runs cover included; copies of a page are one content.
+    keys = units.select("title", "host", F.explode(F.concat(F.array("key"), "gaps")).alias("key"))
+    spread = keys.select("key", "host").distinct().groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS).select("key")
+    common = keys.select("key", "title").distinct().join(spread, "key", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
+    common = common.where(F.col("c") >= F.greatest(F.lit(LEAST_HOSTS), n_contents * ALL_SHARE)).select("key")
     whole = left.withColumn("id", F.xxhash64("page_id", "lines"))
-    drop = whole.select("page_id", "id", F.explode(F.concat(F.array("key"), "gaps")).alias("key")).join(common, "key", "left_semi").select("page_id", "id").distinct()
+    drop = whole.where("not always").select("page_id", "id", F.explode(F.concat(F.array("key"), "gaps")).alias("key")).join(common, "key", "left_semi").select("page_id", "id").distinct()
     return whole.join(drop, ["page_id", "id"], "left_anti").select("page_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no")).distinct()
 
 

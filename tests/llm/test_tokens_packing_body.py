@@ -164,3 +164,22 @@ def test_main_body(spark):
 ])
 def test_units(markup, want):
     assert [u.lines for u in main_body.units_of(markup)[0]] == want
+
+
+def test_copies_count_once_and_headings_and_code_stay(spark):
+    rng, rows = random.Random(23), []
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
+    said = lambda: " ".join(rng.choice(words) for _ in range(14))
+    story = [said() for _ in range(3)]
+    for host in range(7):
+        for k in range(9):
+            copy = k < 3  # a third of all pages are one story
+            lines = story if copy else ["pip install engine", "one footer for everyone", said()]
+            title = "Copied story" if copy else f"Page {words[host * 9 + k]}"
+            first = "<pre>{}</pre>" if not copy else "<p>{}</p>"
+            body = "\n".join([first.format(lines[0]), *(f"<p>{x}</p>" for x in lines[1:])])
+            rows.append((len(rows), f"https://h{host}.example", f"<title>{title} | Brand{words[800 + host]}</title>\n<div>\n<h1>{'Story' if copy else 'Overview'}</h1>\n{body}\n</div>"))
+    got: dict[int, set] = {k: set() for k in range(len(rows))}
+    for r in main_body.main_body_lines(spark.createDataFrame(rows, "page_id long, origin string, html string")).collect():
+        got[r["page_id"]].add(r["line_no"])
+    assert all(got[k] == ({3, 4, 5, 6} if k % 9 < 3 else {3, 4, 6}) for k in got), got
