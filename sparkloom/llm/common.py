@@ -68,6 +68,19 @@ def visible(markup: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
+_ELEMENT = re.compile(r"</?(?:p|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|div|section|article|blockquote|pre|figure|figcaption|caption|details|summary|header|footer|nav|main|aside|form|br|hr)\b[^>]*>", re.IGNORECASE)
+
+
+def markup_text(markup: str) -> list[str]:
+    """Visible text of each block element of ``markup`` in order, white space collapsed, without empty ones."""
+    markup = _HIDDEN.sub(" ", markup)
+    end = markup.rfind(">") + 1  # as in visible()
+    parts = (_ELEMENT.sub("\0", markup[:end]) + markup[end:]).split("\0")
+    lines = (" ".join(html.unescape(_TAG.sub("", p)).split()) for p in parts)
+    return [x for x in lines if x]
+
+
 def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import block_text, page_text
+from sparkloom.llm.common import block_text, markup_text, page_text, small
 
 #: Ends of sentences: a closing mark, perhaps a quotation mark or bracket, then white space; or a full-width mark.
 SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』”’]*")
@@ -114,15 +115,27 @@ def with_limits(rows: DataFrame, limits: DataFrame, size: Column) -> DataFrame:
     return rows.withColumn("lim", F.explode(F.filter(all_, lambda x: x["max_size"] < size))).select(*rows.columns, "lim.*")
 
 
+def _markup_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches, 1):
+        lines = [markup_text(m) for m in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.string()))], ["page_id", "lines"])
+
+
 def split_oversized(pages: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every page whose text is longer than a limit in chars, for each such limit.
 
     Columns ``page_id, limit_name, piece_no`` (from 0), ``start_at, end_at`` (in the page's text),
-    ``overlap`` (leading characters that repeat the piece before), ``piece``. Pages within the limit, null
-    ``blocks`` and null ids give no row; a repeated row of a page is left out. Only pages that are too long
+    ``overlap`` (leading characters that repeat the piece before), ``piece``. A page without ``blocks`` has
+    the visible text of its ``content_html``, one line for each block element. Pages within the limit, pages
+    with neither and null ids give no row; a repeated row of a page is left out. Only pages that are too long
     are shuffled (to make them distinct) and handed to Python.
     """
     texts = pages.where("page_id is not null and blocks is not null").select("page_id", page_text(F.col("blocks")).alias("text"), F.transform("blocks", lambda b: F.char_length(block_text(b))).alias("sizes"))
+    if "content_html" in pages.columns:
+        bare = pages.where("page_id is not null and blocks is null and content_html is not null").select("page_id", "content_html")
+        # A page that has blocks in another of its rows is cut by them.
+        bare = bare.join(pages.where("blocks is not null").select("page_id"), "page_id", "left_anti").mapInArrow(_markup_lines, "page_id long, lines array<string>")
+        texts = texts.unionByName(bare.select("page_id", F.array_join("lines", "\n").alias("text"), F.transform("lines", F.char_length).alias("sizes")))
     texts = with_limits(texts, limits, F.char_length("text")).dropDuplicates(["page_id", "limit_name"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

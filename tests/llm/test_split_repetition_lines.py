@@ -142,3 +142,14 @@ def test_ratio(spark):
     assert g[0] == pytest.approx(2 * (h(k1, n1) + h(k2, n2) - h(k1 + k2, n1 + n2))) and g[1] == pytest.approx(0, abs=1e-9) and g[2] == 0
     p = [r[0] for r in df.select(site_lines.minus_log10_p(df["a"])).collect()]
     assert p[0] == pytest.approx(-math.log10(math.erfc(math.sqrt(10.0 / 2))), rel=0.02)
+
+
+def test_pages_without_blocks_are_cut_by_their_markup(spark):
+    markup = "<head><title>no text</title></head><h1>Head</h1><p>" + "one two. " * 12 + "</p><script>x = 1</script><p>A &amp; <b>B</b></p>"
+    schema = "page_id long, blocks array<struct<text:string,cells:array<string>>>, content_html string"
+    df = spark.createDataFrame([(1, None, markup), (1, None, markup), (2, None, None), (3, [("z" * 60, None)], markup), (3, None, markup), (4, None, "<p>short</p>"), (None, None, markup)], schema)
+    limits = spark.createDataFrame([("s", "chars", 50, 0)], "limit_name string, unit string, max_size long, overlap_size long")
+    got = split.split_oversized(df, limits).orderBy("page_id", "piece_no").collect()
+    assert {r["page_id"] for r in got} == {1, 3} and max(len(r["piece"]) for r in got) <= 50
+    assert "".join(r["piece"] for r in got if r["page_id"] == 1) == "Head\n" + ("one two. " * 12).strip() + "\nA & B"
+    assert "".join(r["piece"] for r in got if r["page_id"] == 3) == "z" * 60
