@@ -252,10 +252,10 @@ def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def admission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each site's frontier in admission order, URLs by locale order, cut at the budget."""
+    """Each site's whole frontier in admission order, URLs by locale order; `budget_cut` has the budget."""
     rows = _frontier(spark, sf_dir)
     by = Window.partitionBy("site").orderBy(*admission.admission_order())
-    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= config.budget(100)).select("site", "rank", "url", "tier")
+    return rows.withColumn("rank", F.row_number().over(by)).select("site", "rank", "url", "tier")
 
 
 @query

@@ -82,3 +82,12 @@ def test_order_and_config(spark):
     assert (config.budget(None), config.budget(0), config.budget(99999)) == (2500, 1, 2500)
     assert config.profile("project-site").quotas is False and config.profile("partner").directory_cap and config.near_setting("0", 3, 0, 7) == 3
     assert len(config.SECTIONS) == 55
+
+
+def test_admission_order_is_whole(spark, tmp_path):
+    from sparkloom.plans import registry
+
+    rows = [(k, f"https://a.example/docs/p{k}") for k in range(130)] + [(500, "https://b.example/"), (501, None)]
+    spark.createDataFrame(rows, "doc_id long, url string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.admission_order(spark, str(tmp_path)).collect()
+    assert sorted(r["rank"] for r in got if "a.example" in r["url"]) == list(range(1, 131)) and len(got) == 131
