@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,24 +107,40 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), limits.where("unit = 'chars'")).count() == 0
 
 
-def test_covered_tokens_against_brute_force():
-    rng = np.random.Generator(np.random.PCG64(21))
-    for run in (1, 3, 5, 6):
-        pages = [rng.integers(0, 4, rng.integers(0, 40)) for _ in range(12)]
-        content = np.array([k // 2 for k in range(12)])
+def stream_of(lines):
+    """``lines``: (content, tokens)."""
+    columns = [[k for k in range(len(lines))], [c for c, _ in lines], [t for _, t in lines], [[] for _ in lines]]
+    return main_body.Stream(pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["key", "content", "tokens", "gaps"]))
+
+
+def test_repeated_runs_against_brute_force():
+    rng, run = np.random.Generator(np.random.PCG64(21)), main_body.RUN
+    for _ in range(20):
+        lines = [(int(rng.integers(0, 9)), rng.integers(0, 2, rng.integers(0, 30)).tolist()) for _ in range(60)]
+        # Short lines count as wholes by their key, which is their own here.
         found: dict[tuple, set] = {}
-        for k, p in enumerate(pages):
-            for i in range(len(p) - run + 1):
-                found.setdefault(tuple(p[i : i + run]), set()).add(content[k])
-        want = []
-        for p in pages:
-            mark = np.zeros(len(p), dtype=bool)
-            for i in range(len(p) - run + 1):
-                if len(found[tuple(p[i : i + run])]) >= 3:
+        for content, t in lines:
+            for i in range(len(t) - run + 1):
+                found.setdefault(tuple(t[i : i + run]), set()).add(content)
+        want = set()
+        for k, (_, t) in enumerate(lines):
+            mark = np.zeros(len(t), dtype=bool)
+            for i in range(len(t) - run + 1):
+                if len(found[tuple(t[i : i + run])]) >= 3:
                     mark[i : i + run] = True
-            want += mark.tolist()
-        got = main_body.covered_tokens(np.concatenate(pages), np.repeat(np.arange(12), [len(p) for p in pages]), content, 3, run)
-        assert got.tolist() == want
+            if len(t) and mark.mean() >= main_body.COVERED:
+                want.add(k)
+        stream = stream_of(lines)
+        assert set(stream.covered(main_body.often(stream.names, stream.contents, 3)[0]).tolist()) == want
+
+
+def test_long_repeats_are_unions_of_runs():
+    # A sentence with another word on each page: its repeated parts cover it, the ordinary lines stay.
+    rng = random.Random(4)
+    part = list(range(100, 130))
+    lines = [(c, [*part[:14], 1000 + c, *part[14:]]) for c in range(5)] + [(c, [rng.randrange(10**6) for _ in range(20)]) for c in range(5)]
+    stream = stream_of(lines)
+    assert stream.covered(main_body.often(stream.names, stream.contents, 3)[0]).tolist() == [0, 1, 2, 3, 4]
 
 
 def words(rng, n):
@@ -166,6 +183,29 @@ def test_units(markup, want):
     assert [u.lines for u in main_body.units_of(markup)[0]] == want
 
 
+def test_blocks_do_not_change_the_result_and_the_suffix_array_decides(spark, monkeypatch):
+    rng, rows, want = random.Random(31), [], {}
+    notice = "Every price on this page is given without warranty by the {} office and its owner may change any of them at any hour of the day, says {}"
+    for k in range(90):
+        lines = ["<html><head>", f"<title>{words(rng, 4)}</title></head><body><div>", f"<h1>{words(rng, 5)}</h1>", f"<p>{words(rng, 20)}</p>", f"<p>{notice.format(words(rng, 1)[:-1], words(rng, 1)[:-1])}</p>", f"<p>{words(rng, 9)}</p>", "</div></body></html>"]
+        if k % 3:
+            del lines[4]
+        want[k] = {3, 4, 5 if k % 3 else 6}
+        rows.append((k, "https://one.example", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "page_id long, origin string, html string")
+
+    def run(**size):
+        got: dict[int, set] = {}
+        for r in main_body.main_body_lines(df, **size).collect():
+            got.setdefault(r["page_id"], set()).add(r["line_no"])
+        return got
+
+    assert run() == run(block=40) == run(block=7) == want
+    # Without the suffix array the notices stay: no two of them are the same line.
+    monkeypatch.setattr(main_body, "covered_lines", lambda units, hosts, block: units.select("host", "key").limit(0))
+    assert run() == {k: v if k % 3 else {3, 4, 5, 6} for k, v in want.items()}
+
+
 def test_copies_count_once_and_headings_and_code_stay(spark):
     rng, rows = random.Random(23), []
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(900)]
