@@ -103,6 +103,11 @@ def shingles(codes: np.ndarray, run: int = 5) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def beside(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for a broadcast if it is counted and has no more than ``most`` rows (of a few numbers each), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class MinHash:
     """Signatures of ``size`` minima, each under its own multiplier."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import host_of, small
+from sparkloom.llm.common import beside, host_of, small
 from sparkloom.session import checkpoint
 
 #: Tokens of a repeated run (a power of two); share of a line that runs must cover.
@@ -171,8 +171,8 @@ class Lines(dict):
         words, codes = mask(html.unescape(of[0]), of[1]), self.codes
         for w in words:
             if w not in codes:
-                # 31 bits, the same in every process.
-                codes[w] = xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFF
+                # 15 bits, the same in every process: two runs of eight are hardly ever alike by chance, and a line is known by its key.
+                codes[w] = xxhash.xxh3_64_intdigest(w) & 0x7FFF
         line = " ".join(words)
         self[of] = out = line, _digest(line), _gap_keys(words), [codes[w] for w in words]
         return out
@@ -250,8 +250,8 @@ def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == names
 
 
-UNITS = "page_id long, host long, content long, frame long, lines array<int>, body boolean, frames array<long>, page_frames array<long>, key long, gaps array<long>, tokens array<int>, always boolean"
-_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_())
+UNITS = "page_id long, host long, content long, frame long, lines array<int>, body boolean, frames array<long>, page_frames array<long>, key long, gaps array<long>, tokens array<short>, always boolean"
+_UNIT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.bool_())
 RUNS = "host long, key long, run long, n int"
 _RUN_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
@@ -357,7 +357,7 @@ def _lists(values: list[list[int]], kind: pa.DataType) -> pa.ListArray:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Lines()
     names = [x.split()[0] for x in UNITS.split(", ")]
-    flat = {names.index("lines"): pa.int32(), names.index("tokens"): pa.int32()}
+    flat = {names.index("lines"): pa.int32(), names.index("tokens"): pa.int16()}
     for batch in small(batches, 2, 4 << 20):
         rows = [r for page, host, markup in zip(*(batch.column(k).to_pylist() for k in range(3))) for r in page_units(page, host, markup, known)]
         columns = list(zip(*rows)) if rows else [()] * len(_UNIT_TYPES)
@@ -419,13 +419,13 @@ def covered_lines(units: DataFrame, hosts: DataFrame, block: int = BLOCK) -> Dat
     many = checkpoint(many)
     runs = many.groupBy("host", "block").applyInArrow(_local, RUNS).select("host", "run").distinct()
 
-    def beside(some: DataFrame) -> DataFrame:
+    def by_block(some: DataFrame) -> DataFrame:
         return some.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "run")
 
-    counted = many.groupBy("host", "block").cogroup(beside(runs).groupBy("host", "block")).applyInArrow(_count, RUNS)
+    counted = many.groupBy("host", "block").cogroup(by_block(runs).groupBy("host", "block")).applyInArrow(_count, RUNS)
     summed = counted.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("c")).join(large, "host")
     decided = checkpoint(summed.where(F.col("c") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * HOST_SHARE))).select("host", "run"))
-    more = many.groupBy("host", "block").cogroup(beside(decided).groupBy("host", "block")).applyInArrow(_cover, RUNS)
+    more = many.groupBy("host", "block").cogroup(by_block(decided).groupBy("host", "block")).applyInArrow(_cover, RUNS)
     return done.unionByName(more.select("host", "key")).distinct()
 
 
@@ -444,24 +444,24 @@ def main_body_lines(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     units = body_units(pages)
     hosts = checkpoint(units.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n")))
-    covered = covered_lines(units, hosts, block)
+    covered = checkpoint(covered_lines(units, hosts, block))
     # Pages without a heading have the frame that most headings of their host stand in.
     frames = units.where("frame is not null").groupBy("host", "frame").agg(F.count("*").alias("c")).groupBy("host").agg(F.max_by("frame", F.struct("c", "frame")).alias("known"))
     columns = ["page_id", "host", "content", "lines", "key", "gaps", "always"]
     bare = units.where("frames is not null").join(frames, "host", "left")
     bare = bare.where(F.when(F.array_contains("page_frames", F.col("known")), F.array_contains("frames", F.col("known"))).otherwise(F.col("body")))
     body = units.where("frames is null and body").select(*columns).unionByName(bare.select(*columns))
-    unique = body.where("not always").join(covered, ["host", "key"], "left_anti")
+    unique = body.where("not always").join(beside(covered), ["host", "key"], "left_anti")
     # What small hosts cannot show: lines of many hosts. Shares are of all lines; copies of a page are one content.
     n_contents = hosts.agg(F.sum("n").alias("n")).scalar()
     keys = body.select("content", "host", F.explode(F.concat(F.array("key"), F.coalesce("gaps", F.array().cast("array<bigint>")))).alias("key"))
     spread = keys.select("key", "host").distinct().groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS).select("key")
     common = keys.select("key", "content").distinct().join(spread, "key", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
-    common = common.where(F.col("c") >= F.greatest(F.lit(LEAST_HOSTS), n_contents * ALL_SHARE)).select("key")
+    common = checkpoint(common.where(F.col("c") >= F.greatest(F.lit(LEAST_HOSTS), n_contents * ALL_SHARE)).select("key"))
     whole = unique.select("page_id", "host", "lines", "key", F.concat(F.array("key"), F.coalesce("gaps", F.array().cast("array<bigint>"))).alias("all_keys"))
-    minor = whole.join(hosts.where(F.col("n") >= SMALL_HOST).select("host"), "host", "left_anti")
-    drop = minor.select("page_id", F.col("key").alias("line_key"), F.explode("all_keys").alias("key")).join(common, "key", "left_semi").select("page_id", F.col("line_key").alias("key")).distinct()
-    kept = whole.join(drop, ["page_id", "key"], "left_anti").select("page_id", "lines").unionByName(body.where("always").select("page_id", "lines"))
+    minor = whole.join(beside(hosts.where(F.col("n") >= SMALL_HOST).select("host")), "host", "left_anti")
+    drop = minor.select("page_id", F.col("key").alias("line_key"), F.explode("all_keys").alias("key")).join(beside(common), "key", "left_semi").select("page_id", F.col("line_key").alias("key")).distinct()
+    kept = whole.join(beside(checkpoint(drop)), ["page_id", "key"], "left_anti").select("page_id", "lines").unionByName(body.where("always").select("page_id", "lines"))
     return kept.select("page_id", F.explode(F.col("lines").cast("array<bigint>")).alias("line_no")).distinct()
 
 
