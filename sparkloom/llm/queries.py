@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = residue.without_residue(table(spark, sf_dir, "ingest_pages").select("page_id", "content_html", "failure_reason"))
+    kept = residue.without_residue(table(spark, sf_dir, "ingest_pages").select("page_id", "content_html", "failure_reason", "status_code"))
     return kept.select("page_id", F.char_length("content_html").alias("content_length"), "failure_reason").distinct()
 
 

@@ -6,6 +6,11 @@ distinct segments of five words or more are then compared by min-hash: ten bands
 which two segments at a similarity of 0.8 agree with probability 0.995. SimHash sorts out candidates inside
 the join, wide enough for that similarity. Verified pairs (similarity of the texts) form components, and a
 component takes its trusted label.
+
+In a short notice one other word changes most runs of five words. So the segments of short pages are also
+linked if they are the same but for one or two neighbouring words, and at least four fifths of both are the same.
+A component of such segments is trusted as well, without any pattern, if failed requests returned it as their
+whole page and hardly any longer page has it; so pages find it that were stored as if all was well.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = list(itertools.combinations(range(len(BLOCKS)), 2))
 #: A page whose words outside notices, headings and lists of links are no more than this consists of its notice.
 REST_WORDS = 30
+#: Words of a notice, at least and at most, and of a page that can consist of notices: two of them and the rest.
+NOTICE_WORDS, SHORT_PAGE = (6, 28), 90
+#: A component is trusted if so many failed requests returned it and this share of its pages is short.
+FAILED_PAGES, SHORT_SHARE = 2, 0.9
 
 # Syntaxes of unfilled placeholders (outside code).
 PLACEHOLDER = (
@@ -55,7 +64,7 @@ _LATIN_RARE = re.compile(r"lorem|ipsum|rhonc|vestib|pulvi|tinci|faucib|faucis|he
 # Error messages and notices that scripts are required.
 _NOTICE = re.compile(
     r"page not found|could not find (?:that|the|this)|internal server error|access denied|session has expired|too many requests|service (?:is )?(?:temporarily )?unavailable|gateway timeout"
-    r"|bad gateway|something went wrong|fatal error|traceback: ?\w+|error establishing a |answered with status \d{3}|down for (?:planned )?maintenance|nothing can be shown here|uncaught exception"
+    r"|bad gateway|something went wrong|fatal error|traceback: ?\w+|error establishing a |down for (?:planned )?maintenance|uncaught exception"
     r"|lo sentimos, la p[aá]gina|seite nicht gefunden|page introuvable|p[aá]gina n[aã]o encontrada|pagina non trovata|ページが見つかりません"
     r"|(?:enable|activate|allow|requires?|need|without|blocking|aktivieren sie|activez|activer|habilite|active|attiva|run|support)\b.{0,40}\b(?:java ?scripts?|scripts?|scripting)\b"
     r"|(?:java ?scripts?|scripting)\b.{0,30}\b(?:is |are )?(?:switched off|turned off|disabled|required|aktivieren|n[eé]cessaire|erforderlich)|check(?:ing)? your browser|scripts? and cookies must|javascript を有効",
@@ -63,7 +72,7 @@ _NOTICE = re.compile(
 )
 # Lines that stand beside such messages, and bare error headings.
 _BESIDE = re.compile(
-    r"(?:contact support if|return to the home ?page|search again|back to the |error reference|learn how to change this setting|we apologi[sz]e|request id|try again|reload the page|go back)\b.{0,70}",
+    r"(?:contact support if|return to the home ?page|search again|back to the |error reference|we apologi[sz]e|request id|try again|reload the page|go back)\b.{0,70}",
     re.IGNORECASE,
 )
 _CODE = re.compile(r"<(pre|code|kbd|samp|script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|$)", re.IGNORECASE | re.DOTALL)
@@ -103,7 +112,7 @@ def label(text: str, heading: bool) -> int:
         if latin >= 0.7 * len(words):
             return FILLER
     # A notice is a short text; prose that mentions one goes on about something else.
-    if len(words) <= 28 and _NOTICE.search(text):
+    if len(words) <= NOTICE_WORDS[1] and _NOTICE.search(text):
         return NOTICE
     if len(words) <= 14 and (_BESIDE.fullmatch(plain) or heading):
         return BESIDE
@@ -145,19 +154,33 @@ def band_keys(part: list[np.ndarray], minhash: MinHash) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SEGMENTS = "page_id long, digest binary, label int, n_words int, heading boolean, plain string"
+def gap_keys(plain: str) -> list[int]:
+    """Keys of a masked segment as it is and without one or two neighbouring words, as long as four fifths stay."""
+    words = plain.split(" ")
+    texts = {plain}
+    for width in (1, 2):
+        if len(words) - width >= SIMILARITY * len(words):
+            texts.update(" ".join([*words[:k], *words[k + width :]]) for k in range(len(words) - width + 1))
+    return sorted(code - (1 << 64) if code >> 63 else code for code in map(xxhash.xxh3_64_intdigest, texts))
+
+
+SEGMENTS = "page_id long, digest binary, label int, n_words int, heading boolean, plain string, short boolean, failed boolean, gaps array<long>"
+_SEGMENT_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     for batch in small(batches, 1):
         rows: list[tuple] = []
-        for page, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for text, heading in segments(content):
-                plain = masked(text)
-                rows.append((page, xxhash.xxh3_128_digest(plain.encode("utf-8", "replace")), label(text, heading), plain.count(" ") + 1 if plain else 0, heading, plain))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names)
+        for page, content, status in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            found = [(text, heading, masked(text)) for text, heading in segments(content)]
+            sizes = [plain.count(" ") + 1 if plain else 0 for _, _, plain in found]
+            short = sum(n for n, (_, heading, _) in zip(sizes, found) if not heading) <= SHORT_PAGE
+            for n, (text, heading, plain) in zip(sizes, found):
+                gaps = gap_keys(plain) if short and not heading and NOTICE_WORDS[0] <= n <= NOTICE_WORDS[1] else None
+                rows.append((page, xxhash.xxh3_128_digest(plain.encode("utf-8", "replace")), label(text, heading), n, heading, plain, short, (status or 0) >= 400, gaps))
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SEGMENT_TYPES)], names)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +205,24 @@ def runs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(1))), lambda k: F.array_join(F.slice(words, k, RUN), " ")))
 
 
-def spread_labels(found: DataFrame) -> DataFrame:
+def template_links(gaps: DataFrame) -> DataFrame:
+    """``a, b``: each digest of ``gaps(digest, gaps)`` and the least digest that shares a key with it.
+
+    Segments that share a key are one template, so each is linked to one of them, not to all.
+    """
+    keys = gaps.select("digest", F.explode("gaps").alias("key")).distinct()
+    low = keys.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
+    return keys.join(low, "key").where("a != digest").select("a", F.col("digest").alias("b")).distinct()
+
+
+def spread_labels(found: DataFrame, links: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """``digest, label`` of every distinct segment that has a label of its own or gets one from its component.
 
     ``found``: ``digest, label, plain``, one row per distinct segment. Segments are compared within the
     buckets of each band, an equi-join on a 64-bit key of distinct segments, so copies of one segment,
     however many, are one row. A segment of fewer than five words is a single run and like no other.
+    ``links``: further pairs ``a, b`` of digests. ``seen``: ``digest, pages, short_pages, failed_pages``, from which
+    components are trusted that no pattern knows.
     """
     prints = checkpoint(found.mapInArrow(_fingerprints, "digest binary, label int, plain string, print long, bands array<long>"))
     rows = prints.select(F.col("digest").alias("d"), F.col("print").alias("p"), F.explode("bands").alias("key"))
@@ -196,11 +231,16 @@ def spread_labels(found: DataFrame) -> DataFrame:
     texts = prints.select("digest", "plain")
     both = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     edges = both.where(overlap(runs(F.col("ta")), runs(F.col("tb"))) >= SIMILARITY).select("a", "b")
-    members = connected_components(edges)
+    members = connected_components(edges if links is None else edges.unionByName(links))
     labelled = members.join(prints.select(F.col("digest").alias("node"), "label"), "node")
     trusted = labelled.where(F.col("label") != NONE).groupBy("component").agg(F.min("label").alias("given"))
     given = labelled.where(F.col("label") == NONE).join(trusted, "component").select(F.col("node").alias("digest"), F.col("given").alias("label"))
-    return prints.where(F.col("label") != NONE).select("digest", "label").unionByName(given)
+    if seen is not None:
+        whole = seen.join(members.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        sums = whole.groupBy("component").agg(*(F.sum(c).alias(c) for c in ("pages", "short_pages", "failed_pages")))
+        learnt = sums.where((F.col("failed_pages") >= FAILED_PAGES) & (F.col("short_pages") >= F.col("pages") * SHORT_SHARE)).select("component")
+        given = given.unionByName(whole.join(learnt, "component", "left_semi").select("digest", F.lit(NOTICE).alias("label")))
+    return prints.where(F.col("label") != NONE).select("digest", "label").unionByName(given).groupBy("digest").agg(F.min("label").alias("label"))
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
@@ -209,14 +249,19 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     ``is_residue``: the content holds a placeholder or filler, or consists of a notice (at most
     ``REST_WORDS`` words besides notices, headings and lists of links), or the failure reason holds a
     placeholder. Pages without content can only be found by their reason; null ids have no row; null, empty
-    and blank contents have no segments; a repeated row counts once.
+    and blank contents have no segments; a repeated row counts once. ``status_code``, where there is such a column,
+    tells failed requests; it decides about a template of many pages, never about one page by itself.
     """
     pages = pages.where("page_id is not null")
-    cut = checkpoint(pages.where("content_html is not null").select("page_id", "content_html").mapInArrow(_segments, SEGMENTS))
+    status = F.col("status_code").cast("int") if "status_code" in pages.columns else F.lit(None).cast("int")
+    cut = checkpoint(pages.where("content_html is not null").select("page_id", "content_html", status.alias("status")).mapInArrow(_segments, SEGMENTS))
     # The label of a segment depends on the marks that the digest leaves out, so own labels count for each occurrence.
     distinct = cut.groupBy("digest").agg(F.max("label").alias("label"), F.first("plain").alias("plain"))
-    given = spread_labels(distinct).withColumnRenamed("label", "given")
-    each = cut.groupBy("page_id", "digest").agg(F.max("label").alias("own"), F.max("n_words").alias("n_words"), F.max("heading").alias("heading"))
+    each = cut.groupBy("page_id", "digest").agg(F.max("label").alias("own"), F.max("n_words").alias("n_words"), F.max("heading").alias("heading"), F.max("short").alias("short"), F.max("failed").alias("failed"))
+    known = cut.where("gaps is not null").select("digest", "gaps").dropDuplicates(["digest"])
+    stood = each.groupBy("digest").agg(F.count("*").alias("pages"), F.count_if("short").alias("short_pages"), F.count_if(F.col("short") & F.col("failed")).alias("failed_pages"))
+    seen = stood.where("short_pages > 0").join(known.select("digest"), "digest", "left_semi")
+    given = spread_labels(distinct, template_links(known), seen).withColumnRenamed("label", "given")
     marked = each.join(given, "digest", "left").withColumn("label", F.when(F.col("own") != NONE, F.col("own")).otherwise(F.coalesce("given", F.lit(NONE))))
     by = marked.groupBy("page_id").agg(
         F.max(F.col("label") == HOLDER).alias("holder"), F.max(F.col("label") == FILLER).alias("filler"), F.max(F.col("label") == NOTICE).alias("notice"),

@@ -1,8 +1,10 @@
 """Problem 9: texts cut off before their end.
 
-Near-copies are found by min-hash banding (bands of three values, each compared completely),
-verified pairs are aligned at their beginning, and the copy whose alignment ends early, inside a word or a
-sentence, is flagged. The other texts without a closing mark are scored by the terminality of their
+A cut copy is the beginning of its original, however much is missing. So min-hash banding is done on beginnings: each
+text has bands of three values for its first 4, 8, 16 ... runs of five words. A text without a closing mark is sought
+by the longest of its beginnings, which is at least half of it, among all beginnings of longer texts. Pairs of which the
+shorter text's runs are contained in the longer one are aligned, and the copy whose alignment ends early, inside
+a word or a sentence, is flagged. The other texts without a closing mark are scored by the terminality of their
 closing word: how often, in the whole corpus, that word stands at the end of a line or a sentence.
 """
 
@@ -19,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import MinHash, shingles, small, word_codes, words_of
-from sparkloom.llm.near_pages import bit_words, forest_candidates
+from sparkloom.llm.near_pages import tolerance
 from sparkloom.session import checkpoint
 
-#: Bands of three values.
-BANDS, ROWS = 12, 3
-HASHES, DEPTHS = BANDS * ROWS, (ROWS,)
+#: Bands of each beginning, values of a band; runs in the shortest beginning. At a similarity of 0.8 one beginning is found with probability 0.986.
+BANDS, ROWS, FIRST = 6, 3, 4
+HASHES = BANDS * ROWS
 #: Closing words that end lines or sentences at least this often end a text, by the kind of its last line (of an item,
 #: with one more end than seen, so that a rare word is not taken for one that needs a continuation).
 PROSE_ENDS, ITEM_ENDS = 0.8, 0.02
@@ -64,14 +66,38 @@ def closing(text: str) -> tuple[int, str]:
     return kind, word.group(0).lower()
 
 
-READ = "doc_id long, digest binary, state int, word string, n_words int, signature array<int>, bits_a long, bits_b long, inner long, ends long, finals long"
+def beginnings(sets: list[np.ndarray], minhash: MinHash) -> tuple[list[list[int]], list[list[int]]]:
+    """Band keys of each list of runs, ``BANDS`` for each beginning, shortest first, and one sketch for each beginning.
+
+    A sketch has the lowest bit of each value in its lower half and the second bit in its upper half.
+    """
+    parts, levels = [], []
+    for runs in sets:
+        sizes = [FIRST << k for k in range(max(0, (len(runs) // FIRST).bit_length()))]
+        levels.append(len(sizes))
+        parts += [runs[:n] for n in sizes]
+    if not parts:
+        return [[] for _ in sets], [[] for _ in sets]
+    values = minhash(parts).astype(np.uint64)
+    level = np.concatenate([np.arange(n, dtype=np.uint64) for n in levels])
+    keys = level[:, None] * np.uint64(BANDS) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = (keys + values[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    places = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
+    sketch = ((values & np.uint64(1)) @ places) | ((((values >> np.uint64(1)) & np.uint64(1)) @ places) << np.uint64(32))
+    ends = np.cumsum([0, *levels])
+    return [keys[a:b].reshape(-1).view(np.int64).tolist() for a, b in zip(ends, ends[1:])], [sketch[a:b].view(np.int64).tolist() for a, b in zip(ends, ends[1:])]
+
+
+READ = "doc_id long, digest binary, state int, word string, n_words int, bands array<long>, sketches array<long>, inner long, ends long, finals long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and rows of word counts (null digest) of each batch."""
     minhash = MinHash(HASHES, 11)
     names = [x.split()[0] for x in READ.split(", ")]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), *[pa.int64()] * 5]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 3]
     for batch in small(batches, 1):
         inner: Counter[str] = Counter()
         ends: Counter[str] = Counter()
@@ -93,18 +119,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 finals[word] += 1
         if not ids:
             continue
-        some = [k for k, s in enumerate(sets) if len(s)]
-        signature = minhash([sets[k] for k in some]) if some else np.empty((0, HASHES), dtype=np.uint32)
-        full = np.zeros((len(ids), HASHES), dtype=np.uint32)
-        full[some] = signature
-        a, b = bit_words(full)
-        values = pa.array([x if len(s) else None for x, s in zip(full.view(np.int32).tolist(), sets)], types[5])
+        bands, sketches = beginnings(sets, minhash)
         zeros = pa.array(np.zeros(len(ids), dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(digests, types[1]), pa.array(states, types[2]), pa.array(closers, types[3]), pa.array(sizes, types[4]), values, pa.array(a), pa.array(b), zeros, zeros, zeros], names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(digests, types[1]), pa.array(states, types[2]), pa.array(closers, types[3]), pa.array(sizes, types[4]), pa.array(bands, types[5]), pa.array(sketches, types[6]), zeros, zeros, zeros], names)
         words = sorted(inner.keys() | finals.keys())
         empty = [pa.nulls(len(words), t) for t in types]
         empty[3] = pa.array(words, types[3])
-        empty[8:] = [pa.array([c[w] for w in words], pa.int64()) for c in (inner, ends, finals)]
+        empty[7:] = [pa.array([c[w] for w in words], pa.int64()) for c in (inner, ends, finals)]
         yield pa.RecordBatch.from_arrays(empty, names)
 
 
@@ -137,7 +158,8 @@ def ends_early(short: str, long: str) -> int:
 def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, state, word, terminality, aligned, is_truncated`` of each document with a non-blank text.
 
-    ``aligned`` is 1, 0 or -1 as in ``ends_early`` for the best near-copy, null without one. Equal texts are
+    ``aligned`` is 1, 0 or -1 as in ``ends_early`` for the best near-copy, null without one; a near-copy has at least
+    ``similarity`` of the runs of the shorter text. Texts of fewer than eight words are not compared. Equal texts are
     compared once and share the result. Null ids and null, empty and blank texts have no row; a repeated row
     counts once. Word counts are of all documents and are combined in each batch before the shuffle.
     """
@@ -146,15 +168,16 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
     each = rows.where("digest is not null").dropDuplicates(["doc_id"])
     words = rows.where("digest is null").groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("ends").alias("ends"), F.sum("finals").alias("finals"))
 
-    # One document for each text, and pairs of texts of which the shorter has no closing mark.
-    single = each.where("signature is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "signature", "bits_a", "bits_b")).alias("x")).select("digest", "x.*")
-    banded = single.select(F.col("doc_id").alias("page_id"), "bits_a", "bits_b", F.array(*(F.slice("signature", ROWS * k + 1, ROWS) for k in range(BANDS))).alias("prefix"))
-    pairs = forest_candidates(banded, similarity, DEPTHS, HASHES)
-    facts = each.select("doc_id", "state", "n_words")
-    pairs = pairs.join(facts.toDF("a", "state_a", "n_a"), "a").join(facts.toDF("b", "state_b", "n_b"), "b")
-    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("state_a") != CLOSED))
-    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("long"), F.when(first, F.col("state_a")).otherwise(F.col("state_b")).alias("state"))
-    pairs = checkpoint(pairs.where(F.col("state") != CLOSED).select("short", "long"))
+    # One document for each text; those without a closing mark are sought among the beginnings of those as long or longer.
+    single = each.where("size(bands) > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "bands", "sketches")).alias("x")).select("x.*")
+    level = F.floor(F.col("band") / BANDS).cast("int")
+    starts = single.select("doc_id", "n_words", "sketches", F.posexplode("bands").alias("band", "key")).select("key", F.col("doc_id").alias("long"), F.col("n_words").alias("n_long"), F.get("sketches", level).alias("sketch_l"))
+    unclosed = single.where(F.col("state") != CLOSED)
+    sought = unclosed.select(F.explode(F.slice("bands", -BANDS, BANDS)).alias("key"), F.col("doc_id").alias("short"), F.col("n_words").alias("n_short"), F.element_at("sketches", -1).alias("sketch_s"))
+    other = F.col("sketch_l").bitwiseXOR(F.col("sketch_s"))
+    differ = F.bit_count(other.bitwiseOR(F.shiftrightunsigned(other, 32)).bitwiseAND(F.lit((1 << HASHES) - 1)))
+    pairs = sought.join(starts, "key").where((F.col("short") != F.col("long")) & (F.col("n_short") <= F.col("n_long")) & (differ <= tolerance(similarity, HASHES)))
+    pairs = checkpoint(pairs.select("short", "long").distinct())
     wanted = pairs.select(F.explode(F.array("short", "long")).alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sides = pairs.join(texts.toDF("short", "text_s"), "short").join(texts.toDF("long", "text_l"), "long")
@@ -166,7 +189,7 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
             for a, b in zip(one, two):
                 x, y = (set(shingles(word_codes(words_of(t))).tolist()) for t in (a, b))
                 # A cut copy has few runs of its own; the longer one may go on for as long as it likes.
-                found.append(ends_early(a, b) if x and len(x & y) / len(x | y) >= similarity - 1e-9 else -1)
+                found.append(ends_early(a, b) if x and len(x & y) >= similarity * len(x) - 1e-9 else -1)
             yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64()), pa.array(found, pa.int32())], ["doc_id", "aligned"])
 
     aligned = sides.select("short", "text_s", "text_l").mapInArrow(align, "doc_id long, aligned int").groupBy("doc_id").agg(F.max("aligned").alias("aligned"))

@@ -76,6 +76,25 @@ def test_cut_near_copies_are_aligned(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5, 0.6, 0.7, 0.75, 0.9])
+def test_deep_cuts_are_aligned(spark, share):
+    rng = random.Random(19)
+    texts = [" ".join(prose(rng, 150)) for _ in range(12)]
+    cut = []
+    for k, t in enumerate(texts):
+        at = int(len(t) * share)
+        while not (t[at - 1].isalpha() and t[at].isalpha()):
+            at += 1
+        # Every other copy has a changed word, too.
+        words = t[:at].split(" ")
+        cut.append(" ".join([*words[:3], "changed", *words[4:]] if k % 2 and share >= 0.5 else words))
+    whole = [t.rstrip(".") for t in texts]
+    rows = list(enumerate([*texts, *cut, *whole]))
+    found = {r["doc_id"]: r["aligned"] for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string")).where("word != ''").collect()}
+    assert [found[12 + k] for k in range(12)] == [1] * 12
+    assert all(found[24 + k] == 0 for k in range(12))
+
+
 @pytest.mark.parametrize(("short", "long", "want"), [
     ("a b c d e f g h i jk", "a b c d e f g h i jkl m n.", 1), ("a b c d e f g h i j", "a b c d e f g h i j k l.", 1), ("a b c d e f g h i j", "a b c d e f g h i j. K l.", 1), ("a b c d e f g h i j", "a b c d e f g h i j.", 0), ("a b c d e f g h i j", "a b c d e f g h i j.\nK", 0),
     ("a b c d e f g h i j", "a b c d e f g h i j", 0), ("a b c d e f g h i j [...]", "a b c d e f g h i j k", 1), ("a b c d e f g h i j", "q r s t u v w x y z j k", -1), ("a b", "a b c", -1), ("a b c d e f g h i j", "a b c d e f g h i j\nnext", 0),
