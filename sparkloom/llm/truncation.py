@@ -1,7 +1,7 @@
 """Problem 9: texts cut off before their end.
 
 A cut copy is the beginning of its original, however much is missing. So min-hash banding is done on beginnings: each
-text has bands of three values for its first 4, 8, 16 ... runs of five words. A text without a closing mark is sought
+text has bands of three values for its first 8, 16, 32 ... runs of five words. A text without a closing mark is sought
 by the longest of its beginnings, which is at least half of it, among all beginnings of longer texts. Pairs of which the
 shorter text's runs are contained in the longer one are aligned, and the copy whose alignment ends early, inside
 a word or a sentence, is flagged. The other texts without a closing mark are scored by the terminality of their
@@ -25,7 +25,7 @@ from sparkloom.llm.near_pages import tolerance
 from sparkloom.session import checkpoint
 
 #: Bands of each beginning, values of a band; runs in the shortest beginning. At a similarity of 0.8 one beginning is found with probability 0.986.
-BANDS, ROWS, FIRST = 6, 3, 4
+BANDS, ROWS, FIRST = 6, 3, 8
 HASHES = BANDS * ROWS
 #: Closing words that end lines or sentences at least this often end a text, by the kind of its last line (of an item,
 #: with one more end than seen, so that a rare word is not taken for one that needs a continuation).
@@ -69,7 +69,7 @@ def closing(text: str) -> tuple[int, str]:
 def beginnings(sets: list[np.ndarray], minhash: MinHash) -> tuple[list[list[int]], list[list[int]]]:
     """Band keys of each list of runs, ``BANDS`` for each beginning, shortest first, and one sketch for each beginning.
 
-    A sketch has the lowest bit of each value in its lower half and the second bit in its upper half.
+    A sketch has the lowest bit of each value, and then the second bit of each.
     """
     parts, levels = [], []
     for runs in sets:
@@ -85,7 +85,7 @@ def beginnings(sets: list[np.ndarray], minhash: MinHash) -> tuple[list[list[int]
         keys = (keys + values[:, k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
     places = np.uint64(1) << np.arange(HASHES, dtype=np.uint64)
-    sketch = ((values & np.uint64(1)) @ places) | ((((values >> np.uint64(1)) & np.uint64(1)) @ places) << np.uint64(32))
+    sketch = ((values & np.uint64(1)) @ places) | ((((values >> np.uint64(1)) & np.uint64(1)) @ places) << np.uint64(HASHES))
     ends = np.cumsum([0, *levels])
     return [keys[a:b].reshape(-1).view(np.int64).tolist() for a, b in zip(ends, ends[1:])], [sketch[a:b].view(np.int64).tolist() for a, b in zip(ends, ends[1:])]
 
@@ -159,7 +159,7 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
     """``doc_id, state, word, terminality, aligned, is_truncated`` of each document with a non-blank text.
 
     ``aligned`` is 1, 0 or -1 as in ``ends_early`` for the best near-copy, null without one; a near-copy has at least
-    ``similarity`` of the runs of the shorter text. Texts of fewer than eight words are not compared. Equal texts are
+    ``similarity`` of the runs of the shorter text. Texts of fewer than twelve words are not compared. Equal texts are
     compared once and share the result. Null ids and null, empty and blank texts have no row; a repeated row
     counts once. Word counts are of all documents and are combined in each batch before the shuffle.
     """
@@ -170,13 +170,16 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
 
     # One document for each text; those without a closing mark are sought among the beginnings of those as long or longer.
     single = each.where("size(bands) > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "bands", "sketches")).alias("x")).select("x.*")
+    # Sketch and length share one number, so the many rows of beginnings are short; lengths only sort out candidates.
+    length = F.shiftleft(F.least(F.col("n_words"), F.lit((1 << 26) - 1)).cast("bigint"), 2 * HASHES)
     level = F.floor(F.col("band") / BANDS).cast("int")
-    starts = single.select("doc_id", "n_words", "sketches", F.posexplode("bands").alias("band", "key")).select("key", F.col("doc_id").alias("long"), F.col("n_words").alias("n_long"), F.get("sketches", level).alias("sketch_l"))
+    starts = single.select("doc_id", length.alias("length"), "sketches", F.posexplode("bands").alias("band", "key")).select("key", F.col("doc_id").alias("long"), F.get("sketches", level).bitwiseOR(F.col("length")).alias("of_long"))
     unclosed = single.where(F.col("state") != CLOSED)
-    sought = unclosed.select(F.explode(F.slice("bands", -BANDS, BANDS)).alias("key"), F.col("doc_id").alias("short"), F.col("n_words").alias("n_short"), F.element_at("sketches", -1).alias("sketch_s"))
-    other = F.col("sketch_l").bitwiseXOR(F.col("sketch_s"))
-    differ = F.bit_count(other.bitwiseOR(F.shiftrightunsigned(other, 32)).bitwiseAND(F.lit((1 << HASHES) - 1)))
-    pairs = sought.join(starts, "key").where((F.col("short") != F.col("long")) & (F.col("n_short") <= F.col("n_long")) & (differ <= tolerance(similarity, HASHES)))
+    sought = unclosed.select(F.explode(F.slice("bands", -BANDS, BANDS)).alias("key"), F.col("doc_id").alias("short"), F.element_at("sketches", -1).bitwiseOR(length).alias("of_short"))
+    other = F.col("of_long").bitwiseXOR(F.col("of_short"))
+    differ = F.bit_count(other.bitwiseOR(F.shiftrightunsigned(other, HASHES)).bitwiseAND(F.lit((1 << HASHES) - 1)))
+    longer = F.shiftright("of_short", 2 * HASHES) <= F.shiftright("of_long", 2 * HASHES)
+    pairs = sought.join(starts, "key").where((F.col("short") != F.col("long")) & longer & (differ <= tolerance(similarity, HASHES)))
     pairs = checkpoint(pairs.select("short", "long").distinct())
     wanted = pairs.select(F.explode(F.array("short", "long")).alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
