@@ -5,10 +5,11 @@ the Benjamini-Hochberg rule over all lines of all sites controls the false disco
 with enough pages are anti-joined from the blocks, which are put together again by position.
 
 Outside, a line counts where it stands on sites on which it is rare: a notice that many sites repeat is no
-evidence that the line is ordinary prose, nor is one that fills the few pages of a small site. Lines on fewer pages than a repeated line must have
-are not tested, so they take no part in the correction for multiple tests. To the outside pages a fixed
-number of pages without the line is added, the prior knowledge that a given line of ordinary text is rare;
-it decides where the collection is too small to show that, and fades where it is large.
+evidence that the line is ordinary prose, nor is one that fills the few pages of a small site. Lines on fewer pages
+than a repeated line must have are not tested, so they take no part in the correction for multiple tests. To the
+outside pages one more site of the mean size is added, without the line; it decides where the collection has one
+site only, and fades where it has many. A line that is about as frequent on the pages of other sites, though rare on
+each, is no excess and is not removed, however many of the site's own pages have it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import block_lines, host_of
+from sparkloom.llm.common import beside, block_lines, host_of
+from sparkloom.session import checkpoint
 
 #: Width of the bins of -log10(p) from which the discovery threshold is found; their number bounds what one task sorts.
 BIN, BINS = 0.02, 20000
-#: Pages without the line that are added to the outside.
-PRIOR_PAGES = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -65,16 +65,17 @@ def line_statistics(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2
     lines = lines_of(pages).select("host", "key", "page_id")
     counts = lines.distinct().groupBy("host", "key").agg(F.count("*").alias("k"))
     sizes = pages.where("page_id is not null and origin is not null and size(blocks) > 0").select(host_of(F.col("origin")).alias("host"), "page_id").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    sizes = checkpoint(sizes)
     per = counts.join(sizes, "host").withColumn("repeated", (F.col("k") >= min_pages) & (F.col("k") >= F.col("n") * min_share))
-    total = sizes.agg(F.sum("n").alias("all_pages")).scalar()
+    all_pages, prior = sizes.agg(F.sum("n"), F.avg("n")).first()
     rare = F.col("k") < F.col("n") * min_share
     outside = per.groupBy("key").agg(F.sum(F.when(rare, F.col("k")).otherwise(0)).alias("loose_k"))
-    stats = per.where(F.col("k") >= min_pages).join(outside, "key").withColumn("all_pages", total)
+    stats = per.where(F.col("k") >= min_pages).join(outside, "key")
     k2 = F.col("loose_k") - F.when(rare, F.col("k")).otherwise(0)
-    stats = stats.withColumns({"k2": k2.cast("double"), "n2": (F.col("all_pages") - F.col("n") + PRIOR_PAGES).cast("double")})
+    stats = stats.withColumns({"k2": k2.cast("double"), "n2": (F.lit((all_pages or 0) + (prior or 0.0)) - F.col("n")).cast("double")})
     k1, n1 = F.col("k").cast("double"), F.col("n").cast("double")
     stats = stats.withColumn("ratio", llr(k1, n1, F.col("k2"), F.col("n2")))
-    return stats.withColumn("score", F.when(k1 / n1 > F.col("k2") / F.col("n2"), minus_log10_p(F.col("ratio"))).otherwise(F.lit(0.0)))
+    return checkpoint(stats.withColumn("score", F.when(k1 / n1 > F.col("k2") / F.col("n2"), minus_log10_p(F.col("ratio"))).otherwise(F.lit(0.0))))
 
 
 def significant_lines(stats: DataFrame, fdr: float = 0.05) -> DataFrame:
@@ -98,7 +99,7 @@ def repeated_site_lines(pages: DataFrame, min_pages: int = 5, min_share: float =
 
 def repeated_blocks(pages: DataFrame, **rule: float) -> DataFrame:
     """Blocks whose text is a repeated line: ``page_id, block_no``, distinct."""
-    return lines_of(pages).join(repeated_site_lines(pages, **rule), ["host", "key"], "left_semi").select("page_id", "block_no").distinct()
+    return lines_of(pages).join(beside(repeated_site_lines(pages, **rule).select("host", "key")), ["host", "key"], "left_semi").select("page_id", "block_no").distinct()
 
 
 def without_site_lines(pages: DataFrame, **rule: float) -> DataFrame:
@@ -108,7 +109,7 @@ def without_site_lines(pages: DataFrame, **rule: float) -> DataFrame:
     """
     rows = block_lines(pages.where("page_id is not null"), host_of(F.col("origin")).alias("host"), F.col("page_id")).dropDuplicates(["page_id", "block_no"])
     rows = rows.withColumn("key", line_key(F.col("line")))
-    kept = rows.join(repeated_site_lines(pages, **rule).select("host", "key"), ["host", "key"], "left_anti")
+    kept = rows.join(beside(repeated_site_lines(pages, **rule).select("host", "key")), ["host", "key"], "left_anti")
     joined = kept.groupBy("page_id").agg(F.count("*").alias("kept"), F.array_sort(F.collect_list(F.struct("block_no", "line"))).alias("b"))
     sizes = pages.where("page_id is not null and blocks is not null").groupBy("page_id").agg(F.max(F.size("blocks")).cast("bigint").alias("n_blocks"))
     return sizes.join(joined, "page_id", "left").select("page_id", "n_blocks", F.coalesce("kept", F.lit(0).cast("bigint")).alias("kept"), F.coalesce(F.array_join(F.transform("b", lambda x: x["line"]), "\n"), F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+[」』”’
 WORD_GAP = re.compile(r"\s+")
 #: Characters that the rolling hash looks at.
 WINDOW = 16
-PIECES = "page_id long, limit_name string, piece_no int, start_at int, end_at int, overlap int, piece string"
+PIECES = "page_id long, limit_name string, piece_no int, start_at int, end_at int, overlap int, overlap_most int, piece string"
 
 
 def rolling_hash(codes: np.ndarray) -> np.ndarray:
@@ -73,13 +73,17 @@ def cut_points(text: str, body: int, blocks: list[int] | None = None) -> list[in
     return [*cuts, n]
 
 
+def usual_overlap(max_size: int, overlap_size: int) -> int:
+    """The overlap in force: half of the limit at most, so that every piece has something new."""
+    return int(max(0, min(overlap_size, max_size // 2)))
+
+
 def split_text(text: str, max_size: int, overlap_size: int, blocks: list[int] | None = None) -> list[tuple[int, int, int]]:
     """``(start, end, overlap)`` of each piece; the first ``overlap`` characters repeat the end of the one before.
 
-    The overlap starts at the start of a word where the range holds one. An overlap of the limit or more is
-    cut to half of it, so that every piece has something new.
+    The overlap starts at the start of a word where the range holds one. It is at most ``usual_overlap``.
     """
-    overlap_size = max(0, min(overlap_size, max_size // 2))
+    overlap_size = usual_overlap(max_size, overlap_size)
     out, at = [], 0
     for end in cut_points(text, max_size - overlap_size, blocks):
         start = max(0, at - overlap_size)
@@ -92,16 +96,33 @@ def split_text(text: str, max_size: int, overlap_size: int, blocks: list[int] |
 
 
 def oversized(pages: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pages, and single blocks of them, that are longer than a limit in chars.
+    """Pages, and single blocks of them, that have to be cut at a limit in chars.
 
     Rows ``limit_name, page_id, block_no`` (-1 for the page), distinct however often a page's row is
-    repeated. Null ``blocks``, null limits and null page ids give no row; an empty text is never too long.
+    repeated: the items that the splitter cuts into two pieces or more. Null ``blocks``, null limits and null
+    page ids give no row; an empty text is never too long. Only items over a limit reach Python.
     """
-    size = F.aggregate(F.transform("blocks", lambda b: F.char_length(block_text(b))), F.lit(0).cast("bigint"), lambda a, x: a + x + 1) - 1
-    page = F.array(F.struct(F.lit(-1).cast("bigint").alias("block_no"), size.alias("n")))
-    blocks = F.transform("blocks", lambda b, i: F.struct(i.cast("bigint").alias("block_no"), F.char_length(block_text(b)).cast("bigint").alias("n")))
-    whole = pages.where("page_id is not null and blocks is not null").select("page_id", F.explode(F.concat(page, blocks)).alias("x")).select("page_id", "x.*").where("n > 0")
-    return with_limits(whole, limits, F.col("n")).select("limit_name", "page_id", "block_no").distinct()
+    texts = F.transform("blocks", block_text)
+    page = F.array(F.struct(F.lit(-1).cast("bigint").alias("block_no"), F.array_join(texts, "\n").alias("text"), F.transform(texts, F.char_length).alias("sizes")))
+    blocks = F.transform(texts, lambda t, i: F.struct(i.cast("bigint").alias("block_no"), t.alias("text"), F.array(F.char_length(t)).alias("sizes")))
+    items = pages.where("page_id is not null and blocks is not null").select("page_id", F.explode(F.concat(page, blocks)).alias("x")).select("page_id", "x.*")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2):
+            many = []
+            for text, sizes, most, overlap in zip(*(batch.column(k).to_pylist() for k in (2, 3, 5, 6))):
+                many.append(len(pieces_of(text, sizes, most, overlap)))
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), batch.column(1), pa.array(many, pa.int32())], ["limit_name", "page_id", "block_no", "n_pieces"])
+
+    over = with_limits(items, limits, F.char_length("text")).select("page_id", "block_no", "text", "sizes", "limit_name", "max_size", "overlap_size")
+    found = over.mapInArrow(cut, "limit_name string, page_id long, block_no long, n_pieces int")
+    return found.where("n_pieces > 1").select("limit_name", "page_id", "block_no").distinct()
+
+
+def pieces_of(text: str, sizes: list[int], max_size: int, overlap_size: int) -> list[tuple[int, int, int]]:
+    """``split_text`` of a text made of blocks of the given sizes, joined by one character."""
+    blocks = (np.cumsum(np.asarray(sizes, dtype=np.int64) + 1)[:-1]).tolist()
+    return split_text(text, int(max_size), int(overlap_size), blocks)
 
 
 def with_limits(rows: DataFrame, limits: DataFrame, size: Column) -> DataFrame:
@@ -125,7 +146,8 @@ def split_oversized(pages: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every page whose text is longer than a limit in chars, for each such limit.
 
     Columns ``page_id, limit_name, piece_no`` (from 0), ``start_at, end_at`` (in the page's text),
-    ``overlap`` (leading characters that repeat the piece before), ``piece``. A page without ``blocks`` has
+    ``overlap`` (leading characters that repeat the piece before), ``overlap_most`` (the limit's overlap, or half of
+    the limit where that is less), ``piece``. A page without ``blocks`` has
     the visible text of its ``content_html``, one line for each block element. Pages within the limit, pages
     with neither and null ids give no row; a repeated row of a page is left out. Only pages that are too long
     are shuffled (to make them distinct) and handed to Python.
@@ -142,9 +164,8 @@ def split_oversized(pages: DataFrame, limits: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                blocks = (np.cumsum(np.asarray(r.sizes, dtype=np.int64) + 1)[:-1]).tolist()
-                for k, (start, end, overlap) in enumerate(split_text(r.text, int(r.max_size), int(r.overlap_size), blocks)):
-                    rows.append((r.page_id, r.limit_name, k, start, end, overlap, r.text[start:end]))
-            yield pd.DataFrame(rows, columns=["page_id", "limit_name", "piece_no", "start_at", "end_at", "overlap", "piece"])
+                for k, (start, end, overlap) in enumerate(pieces_of(r.text, r.sizes, r.max_size, r.overlap_size)):
+                    rows.append((r.page_id, r.limit_name, k, start, end, overlap, usual_overlap(r.max_size, r.overlap_size), r.text[start:end]))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
     return texts.mapInPandas(cut, PIECES)

@@ -78,6 +78,25 @@ def test_repetition_against_brute_force(spark):
     assert repetition.repetitive(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_cutoffs_decide_which_pages_are_rejected(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    rows = [(k, "o", [(fresh(100), None)]) for k in range(900)]
+    for k in range(900, 960):
+        again = fresh(30)
+        rows.append((k, "o", [(f"{again} {fresh(60)} {again}" if k < 930 else f"{again} {fresh(20)} {again}", None)]))
+    df = pages_of(spark, rows)
+    found = {r["page_id"]: r for r in repetition.repetitive(df, alpha=0.05).collect()}
+    assert {k for k, r in found.items() if r["confirmed"]} == set(range(930, 960))
+    # The cutoff was selected, is above none of them, and keeps the rate of rejected good pages within the bound.
+    assert all(0 < r["cutoff"] < 0.3 for r in found.values()) and sum(not r["confirmed"] for r in found.values()) <= 0.05 * 930
+    few = {r["page_id"] for r in repetition.repetitive(df, holdout=20).where("confirmed").collect()}
+    assert few == set(range(930, 960))
+    monkeypatch.setattr(repetition, "select_cutoffs", lambda *a, **k: {"short": 0.9, "medium": 0.9, "long": 0.9})
+    assert repetition.repetitive(df).count() == 0
+
+
 @pytest.mark.parametrize(("k", "n", "error"), [(0, 10, 0.05), (3, 40, 0.01), (10, 10, 0.1), (0, 0, 0.1), (50, 4000, 1e-4)])
 def test_binomial_bound(k, n, error):
     p = repetition.binomial_upper(k, n, error)
@@ -134,6 +153,24 @@ def test_site_lines_against_brute_force(spark):
     assert site_lines.repeated_blocks(df.limit(0)).count() == 0
 
 
+def test_line_without_excess_is_not_removed(spark):
+    rows, k = [], 0
+    for host in range(6):
+        for i in range(100):
+            # One site has the phrase on a fifth of its pages, the others on nearly as many: no excess. Its own line is one.
+            lines = [f"text {chr(97 + k % 26)}{'xyzuvw'[host]} " + "q" * (i % 50 + 1)]
+            if i < (20 if host == 0 else 19):
+                lines.append("See you next week")
+            if host == 0 and i < 20:
+                lines.append("Printed in Emberwick")
+            rows.append((k, f"https://h{host}.example", [(t, None) for t in lines]))
+            k += 1
+    stats = site_lines.line_statistics(pages_of(spark, rows)).where("repeated").collect()
+    assert len(stats) == 2
+    got = {tuple(r) for r in site_lines.repeated_blocks(pages_of(spark, rows)).collect()}
+    assert got == {(i, 2) for i in range(20)}
+
+
 def test_ratio(spark):
     df = spark.createDataFrame([(10.0, 20.0, 5.0, 200.0), (1.0, 10.0, 20.0, 200.0), (5.0, 5.0, 0.0, 0.0)], "a double, b double, c double, d double")
     g = [r[0] for r in df.select(site_lines.llr(*(df[c] for c in "abcd"))).collect()]
