@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import hashlib
 import re
 
@@ -64,26 +66,42 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(print_: Column, hamming: int = config.NEAR_HAMMING) -> Column:
-    """``hamming + 1`` bands of the 64 bits (the first ones take the rest), as ``(band, value)``: prints within the distance share one."""
-    n = hamming + 1
+def bands(print_: Column, hamming: int = config.NEAR_HAMMING, agree: int = 1) -> Column:
+    """Tables ``(band, value)`` of the 64 bits in ``hamming + agree`` blocks (the first ones take the rest): prints within the distance share one.
+
+    A table has ``agree`` of the blocks, as many of which any two such prints have in common; with more, keys are longer.
+    """
+    n = hamming + agree
     widths = [64 // n + (k < 64 % n) for k in range(n)]
-    out, at = [], 64
-    for k, width in enumerate(widths):
+    blocks, at = [], 64
+    for width in widths:
         at -= width
-        value = print_ if width == 64 else F.shiftrightunsigned(print_, at).bitwiseAND(F.lit((1 << width) - 1))
+        blocks.append((width, print_ if width == 64 else F.shiftrightunsigned(print_, at).bitwiseAND(F.lit((1 << width) - 1))))
+    out = []
+    for k, chosen in enumerate(itertools.combinations(blocks, agree)):
+        value = chosen[0][1]
+        for width, more in chosen[1:]:
+            value = F.shiftleft(value, width).bitwiseOR(more)
         out.append(F.struct(F.lit(k).alias("band"), value.alias("value")))
     return F.array(*out)
 
 
+def blocks_that_agree(n: int, hamming: int, most: int = 4) -> int:
+    """How many blocks a key needs so that ``n`` prints fill its values less than once; at most ``most`` of them, as tables multiply."""
+    return next((k for k in range(1, most) if 64 * k // (hamming + k) >= max(1, n).bit_length()), most)
+
+
 def near_pairs(prints: DataFrame, hamming: int = config.NEAR_HAMMING, scope: str | None = None) -> DataFrame:
     """Pairs ``id_a < id_b`` of ``prints(id, simhash[, scope])`` within ``hamming`` bits, with their distance.
 
     Equal prints are one row of the search and are expanded only in the result. Null ids and prints are left out.
+    Keys grow with the number of prints, so that buckets do not.
     """
     keys = [scope] if scope else []
     rows = prints.where("id is not null and simhash is not null").select("id", "simhash", *keys).distinct()
-    distinct = rows.select("simhash", *keys).distinct().select("simhash", *keys, F.explode(bands(F.col("simhash"), hamming)).alias("x")).select("simhash", *keys, "x.*")
+    single = rows.select("simhash", *keys).distinct()
+    agree = blocks_that_agree(single.count(), hamming)
+    distinct = single.select("simhash", *keys, F.explode(bands(F.col("simhash"), hamming, agree)).alias("x")).select("simhash", *keys, "x.*")
     left, right = distinct.withColumnRenamed("simhash", "a"), distinct.withColumnRenamed("simhash", "b")
     close = left.join(right, [*keys, "band", "value"]).where(F.col("a") < F.col("b")).withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= hamming).select("a", "b", "distance", *keys).distinct()
     one, two = rows.withColumnsRenamed({"id": "id_1", "simhash": "a"}), rows.withColumnsRenamed({"id": "id_2", "simhash": "b"})

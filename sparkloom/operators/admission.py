@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from sparkloom import config
 from sparkloom.config import EDITORIAL, EVIDENCE, OTHER, PRODUCT
 from sparkloom.functions import classify
-from sparkloom.operators.sequence import in_sequence
+from sparkloom.operators.sequence import in_sequence, ranked
+from sparkloom.session import checkpoint
 
 
 def admission_order(collation: str = "UNICODE") -> list[Column]:
@@ -31,17 +32,26 @@ def quota_admission(frontier: DataFrame, caps: dict[str, int] | None = None) ->
 
     ``frontier``: ``site, rank`` (place in the admission order, unique per site), ``tier, section``. Editorial
     pages get a quarter of what product and other pages within their caps number (25 where there are none);
-    evidence is neither limited nor counted. Exact as windows because the order puts editorial pages last.
+    evidence is neither limited nor counted. Because the order puts editorial pages last, each rule is a rank
+    beyond which it refuses: one row for a section or site, found without a site's rows in one task.
     """
-    cap = caps_column(F.col("section"), config.SECTION_CAPS if caps is None else caps)
-    by_section = Window.partitionBy("site", "section").orderBy("rank")
-    ranked = frontier.withColumn("cap_ok", cap.isNull() | (F.col("section") == "") | (F.row_number().over(by_section) <= cap))
-    counted = F.count_if(F.col("tier").isin(PRODUCT, OTHER) & F.col("cap_ok")).over(Window.partitionBy("site"))
-    before = F.count_if((F.col("tier") == EDITORIAL) & F.col("cap_ok")).over(Window.partitionBy("site").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    allowed = F.when(counted == 0, config.EDITORIAL_FLOOR).otherwise(F.floor(counted / config.EDITORIAL_PER))
-    ranked = ranked.withColumns({"allowed": allowed, "before": before})
-    share = (F.col("tier") == EDITORIAL) & (F.col("before") >= F.col("allowed"))
-    return ranked.withColumn("outcome", F.when(share, "share").when(~F.col("cap_ok"), "section").otherwise("admitted")).select(*frontier.columns, "outcome")
+    caps = config.SECTION_CAPS if caps is None else caps
+    rows = checkpoint(frontier.withColumn("cap", F.when(F.col("section") != "", caps_column(F.col("section"), caps))))
+    # Spark keeps the first rows of each section in every partition before the shuffle (a group limit of the window).
+    first = rows.where("cap is not null").withColumn("nth", F.row_number().over(Window.partitionBy("site", "section").orderBy("rank"))).where(F.col("nth") <= max(caps.values(), default=0))
+    last = first.groupBy("site", "section").agg(F.max(F.when(F.col("nth") <= F.col("cap"), F.col("rank"))).alias("last_rank")).toDF("_site", "_section", "_last")
+    capped = rows.where("cap is not null").join(last, F.col("site").eqNullSafe(F.col("_site")) & (F.col("section") == F.col("_section")), "left")
+    capped = capped.withColumn("cap_ok", F.coalesce(F.col("rank") <= F.col("_last"), F.lit(False))).drop("_site", "_section", "_last")
+    both = checkpoint(capped.unionByName(rows.where("cap is null").withColumn("cap_ok", F.lit(True))).drop("cap"))
+    counted = both.groupBy("site").agg(F.count_if(F.col("tier").isin(PRODUCT, OTHER) & F.col("cap_ok")).alias("n"))
+    allowed = F.when(F.col("n") == 0, config.EDITORIAL_FLOOR).otherwise(F.floor(F.col("n") / config.EDITORIAL_PER))
+    sites = counted.select(F.col("site").alias("of"), allowed.cast("bigint").alias("allowed"))
+    editorial = ranked(both.where((F.col("tier") == EDITORIAL) & F.col("cap_ok")).select("site", "rank"), "site", [F.col("rank").asc()], "nth")
+    bound = editorial.join(sites, F.col("site").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("allowed"))).select(F.col("of").alias("at"), F.col("rank").alias("last_share"))
+    sites = sites.join(bound, F.col("of").eqNullSafe(F.col("at")), "left").select("of", F.when(F.col("allowed") == 0, 0).otherwise(F.col("last_share")).alias("last_share"))
+    out = both.join(sites, F.col("site").eqNullSafe(F.col("of")), "left")
+    share = F.coalesce((F.col("tier") == EDITORIAL) & (F.col("rank") > F.col("last_share")), F.lit(False))
+    return out.withColumn("outcome", F.when(share, "share").when(~F.col("cap_ok"), "section").otherwise("admitted")).select(*frontier.columns, "outcome")
 
 
 class Gate:

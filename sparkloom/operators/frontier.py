@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparkloom import config
 from sparkloom.functions import classify, urls
 from sparkloom.operators import admission
+from sparkloom.operators.sequence import ranked
 
 
 def distinct_seeds(seeds: DataFrame) -> DataFrame:
@@ -44,11 +44,10 @@ def initial_frontier(seeds: DataFrame, mapped: DataFrame, caps: dict[str, int] |
     first = candidates(seeds.withColumn("seq", F.col("position").cast("bigint"))).where("not is_repeat")
     rows = candidates(mapped.withColumn("seq", F.xxhash64("url"))).where("key is not null and not locale_excluded and not is_repeat")
     rows = rows.join(first.select("site", "key"), ["site", "key"], "left_anti")
-    by = Window.partitionBy("site").orderBy(*admission.admission_order())
-    gated = admission.quota_admission(rows.withColumn("rank", F.row_number().over(by)), caps)
+    gated = admission.quota_admission(ranked(rows, "site", admission.admission_order()), caps)
     both = first.select("site", F.lit(0).alias("later"), F.col("position").cast("bigint").alias("o"), "url", F.lit("seed").alias("source"), F.lit("admitted").alias("outcome")).unionByName(gated.select("site", F.lit(1).alias("later"), F.col("rank").cast("bigint").alias("o"), F.col("fetch_url").alias("url"), F.lit("sitemap").alias("source"), "outcome"))
-    place = F.row_number().over(Window.partitionBy("site", F.col("outcome") == "admitted").orderBy("later", "o"))
-    both = both.withColumn("place", F.when(F.col("outcome") == "admitted", place))
+    placed = ranked(both.where("outcome = 'admitted'"), "site", [F.col("later").asc(), F.col("o").asc(), F.col("url").asc()], "place")
+    both = placed.unionByName(both.where("outcome != 'admitted'").withColumn("place", F.lit(None).cast("bigint")))
     return both.withColumn("outcome", F.when(F.col("place") > config.budget(max_pages), "budget").otherwise(F.col("outcome"))).select("site", "place", "url", "source", "outcome")
 
 
@@ -56,8 +55,7 @@ def merge_harvested(frontier: DataFrame, harvested: DataFrame, caps: dict[str, i
     """Links of a loaded page through the quotas, for sites without a map: ``site, url, outcome``; those in the frontier already are left out."""
     rows = candidates(harvested.select("site", F.col("rank").cast("bigint").alias("seq"), "url")).where("key is not null and not locale_excluded and not is_repeat")
     known = candidates(frontier.select("site", F.xxhash64("url").alias("seq"), "url")).select("site", "key").distinct()
-    by = Window.partitionBy("site").orderBy(*admission.admission_order())
-    return admission.quota_admission(rows.join(known, ["site", "key"], "left_anti").withColumn("rank", F.row_number().over(by)), caps).select("site", F.col("fetch_url").alias("url"), "outcome")
+    return admission.quota_admission(ranked(rows.join(known, ["site", "key"], "left_anti"), "site", admission.admission_order()), caps).select("site", F.col("fetch_url").alias("url"), "outcome")
 
 
 def quota_report(decided: DataFrame) -> DataFrame:

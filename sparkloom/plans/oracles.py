@@ -142,6 +142,13 @@ ORACLES: dict[str, str] = {
     "indexed_report": f"WITH {_LAST_RUN} SELECT CASE WHEN pages_saved % 7 = 0 THEN 'not_indexed' WHEN pages_saved % 5 = 0 THEN 'indexing' WHEN pages_saved % 5 = 1 THEN 'queued' WHEN pages_saved % 5 = 2 THEN 'failed' ELSE 'indexed' END AS state, count(*) AS n_runs FROM runs GROUP BY 1",
     "size_admission": f"WITH b AS (SELECT page_id, html, 512 + {' + '.join(f'coalesce(strlen({c}) + 24, 0)' for c in ('origin', 'url', 'final_url', 'content_html', 'title', 'excerpt', 'failure_reason'))} AS bare FROM ingest_pages) SELECT DISTINCT page_id, CASE WHEN bare + coalesce(strlen(html) + 24, 0) <= 12000 THEN 'whole' WHEN bare <= 12000 THEN 'without_html' ELSE 'refused' END AS admission, html IS NOT NULL AND bare + coalesce(strlen(html) + 24, 0) <= 12000 AS has_html FROM b",
     "link_batches": "WITH l AS (SELECT DISTINCT page_id, link_url FROM crawl_links WHERE page_id IS NOT NULL AND link_url IS NOT NULL), r AS (SELECT page_id, (row_number() OVER w - 1) // 5 AS a, (sum(strlen(link_url)) OVER w - 1) // 400 AS b FROM l WINDOW w AS (PARTITION BY page_id ORDER BY link_url ROWS UNBOUNDED PRECEDING)), d AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY a, b) AS batch FROM r) SELECT page_id, CAST(batch AS INTEGER) AS batch, count(*) AS n_links FROM d GROUP BY 1, 2",
+    "stream_first_wins": "SELECT DISTINCT user_id, event_type FROM events",
+    "corpus_summary_lines": f"""WITH {_LENGTHS}, s AS (SELECT site, section, count(*) AS pages, list_sort(list(length))[count(*) // 2 + 1] AS median_prose, count(*) FILTER (length < 500) AS thin_pages, count(*) / sum(count(*)) OVER (PARTITION BY site) AS share FROM sized GROUP BY site, section),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, section) AS rank FROM s)
+SELECT site, CAST(rank AS INTEGER) AS rank, printf('%s: %d pages (%.1f%%), median %d, thin %d', section, pages, round(share * 100, 1), median_prose, CAST(thin_pages AS BIGINT)) AS line FROM r WHERE rank <= 16
+UNION ALL SELECT site, 17, printf('and %d more sections with %d pages', count(*), CAST(sum(pages) AS BIGINT)) FROM r WHERE rank > 16 GROUP BY site""",
+    "robots_gate": f"""WITH {_PAGES}, p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '#.*$', '') AS path FROM pages)
+SELECT length(lower(origin)) % 3 = 0 OR NOT ((starts_with(path, '/help') AND NOT starts_with(path, '/help/a')) OR (starts_with(path, '/news') AND contains(path, '?utm'))) AS robots_allowed, count(*) AS n_pages FROM p GROUP BY 1""",
     "url_listing": "WITH p AS (SELECT page_id, min(url) AS url FROM ingest_pages WHERE page_id IS NOT NULL GROUP BY page_id ORDER BY page_id LIMIT 50 OFFSET 50) SELECT page_id, url, count(*) OVER () >= 50 AS has_more FROM p",
     "doc_simhash": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
 g AS (SELECT doc_id, sha256(array_to_string(words[i:i + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
@@ -160,3 +167,4 @@ paths AS (SELECT seed, max(pages_saved) * 2 AS n_paths FROM r GROUP BY 1), j AS
 CASE WHEN pages_saved % 3 = 0 THEN 'host stopped' WHEN r.status = 'failed' THEN 'run failed' END AS reason, n_paths FROM r LEFT JOIN tally t ON t.run_id = r.run_id AND t.k = r.k LEFT JOIN paths p ON p.seed = r.seed)
 SELECT *, CASE WHEN n_paths > 0 THEN CAST(CAST(least(100, floor(n_pages * 100.0 / least(n_paths, {config.MAX_PAGES}) + 0.5)) AS INTEGER) AS VARCHAR) || '%' ELSE status END AS completed FROM j""",
 }
+ORACLES["stream_abort"] = ORACLES["early_abort"]

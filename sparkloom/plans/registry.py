@@ -14,6 +14,7 @@ from sparkloom import config
 from sparkloom.functions import classify, extract, urls
 from sparkloom.functions import fingerprint as fp
 from sparkloom.operators import admission, dedup, frontier, reports, runs
+from sparkloom.operators.sequence import ranked
 from sparkloom.plans.oracles import ORACLES
 from sparkloom.session import Query, table
 from sparkloom.sources import readers, writers
@@ -254,16 +255,15 @@ def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each site's whole frontier in admission order, URLs by locale order; `budget_cut` has the budget."""
     rows = _frontier(spark, sf_dir)
-    by = Window.partitionBy("site").orderBy(*admission.admission_order())
-    return rows.withColumn("rank", F.row_number().over(by)).select("site", "rank", "url", "tier")
+    return ranked(rows, "site", admission.admission_order()).select("site", "rank", "url", "tier")
 
 
 @query
 def section_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quota outcome of each frontier URL, ties of the order by the URL's bytes."""
     rows = _frontier(spark, sf_dir)
-    by = Window.partitionBy("site").orderBy(classify.tier_rank(F.col("tier")), "depth", "url")
-    return admission.quota_admission(rows.withColumn("rank", F.row_number().over(by)), CAPS).select("site", "rank", "url", "section", "outcome")
+    order = [classify.tier_rank(F.col("tier")).asc(), F.col("depth").asc(), F.col("url").asc()]
+    return admission.quota_admission(ranked(rows, "site", order), CAPS).select("site", "rank", "url", "section", "outcome")
 
 
 @query
@@ -283,8 +283,9 @@ def initial_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted URLs of each site within a budget of 20 pages."""
     admitted = section_quota(spark, sf_dir).where("outcome = 'admitted'")
-    ranked = admitted.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("rank")))
-    return ranked.where(F.col("place") <= config.budget(20)).select("site", "place", "url")
+    # A literal bound on the place is a group limit of the window: each partition hands on a site's first 20 only.
+    placed = admitted.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("rank")))
+    return placed.where(F.col("place") <= config.budget(20)).select("site", F.col("place").cast("bigint").alias("place"), "url")
 
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +449,7 @@ def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = urls.url_parts(F.col("url"))
     pages = _pages(spark, sf_dir).select("page_id", "url", urls.origin_of(u).alias("origin"))
     body = "User-agent: *\nDisallow: /help\nAllow: /help/a\nDisallow: /*?utm\n\nUser-agent: Loom\nDisallow: /help\nAllow: /help/a\nDisallow: /news\n"
-    files = pages.select("origin").distinct().select("origin", F.when(F.pmod(F.crc32("origin"), F.lit(3)) == 0, 404).otherwise(200).alias("status"), F.lit(body).alias("body"))
+    files = pages.select("origin").distinct().select("origin", F.when(F.length("origin") % 3 == 0, 404).otherwise(200).alias("status"), F.lit(body).alias("body"))
     return readers.robots_gate(pages, files, "Loom").groupBy("robots_allowed").agg(F.count("*").alias("n_pages"))
 
 

@@ -6,7 +6,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sparkloom import config
+from sparkloom.config import EDITORIAL, EVIDENCE, OTHER, PRODUCT
 from sparkloom.operators import admission
+from sparkloom.operators.sequence import ranked
 
 TIERS = ["product", "evidence", "other", "editorial"]
 
@@ -91,3 +93,37 @@ def test_admission_order_is_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, url string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.admission_order(spark, str(tmp_path)).collect()
     assert sorted(r["rank"] for r in got if "a.example" in r["url"]) == list(range(1, 131)) and len(got) == 131
+
+
+def test_ranks_of_a_hot_scope(spark):
+    rows = [("hot" if k % 3 else None if k % 2 else "cold", (k * 7919) % 5000) for k in range(5000)]
+    df = spark.createDataFrame(rows, "site string, v int").repartition(7)
+    got: dict = {}
+    for r in ranked(df, "site", [F.col("v").asc()]).collect():
+        got.setdefault(r["site"], []).append((r["v"], r["rank"]))
+    want: dict = {}
+    for site, v in rows:
+        want.setdefault(site, []).append(v)
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(v, n + 1) for n, v in enumerate(sorted(vs))] for k, vs in want.items()}
+    assert ranked(df.limit(0), "site", [F.col("v").asc()]).count() == 0
+
+
+def test_quotas_against_one_gate(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for site in ("a", "b", None, "c"):
+        tiers = sorted((rng.choice([PRODUCT, EVIDENCE, OTHER, EDITORIAL, EDITORIAL]) for _ in range(90 if site != "c" else 30)), key=[PRODUCT, EVIDENCE, OTHER, EDITORIAL].index)
+        if site == "c":
+            tiers = [EDITORIAL] * 40
+        gate = admission.Gate({"x": 4, "y": 0, "z": 9})
+        for rank, tier in enumerate(tiers, 1):
+            section = rng.choice(["", "x", "y", "z", "free"])
+            rule = gate.quota(tier, section)
+            if rule is None:
+                gate.tiers[tier] += 1
+                gate.sections[section] += 1
+            rows.append((site, rank, tier, section))
+            want[site, rank] = rule or "admitted"
+    got = {(r["site"], r["rank"]): r["outcome"] for r in admission.quota_admission(spark.createDataFrame(rows, "site string, rank int, tier string, section string"), {"x": 4, "y": 0, "z": 9}).collect()}
+    differ = {k: (got[k], want[k]) for k in want if got[k] != want[k]}
+    assert len(got) == len(want) and not differ

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fingerprint as fp
@@ -118,3 +119,19 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, 1), (5, 5)], "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("hamming", "agree"), [(3, 1), (3, 2), (3, 3), (7, 2)])
+def test_prints_within_the_distance_share_a_table(spark, hamming, agree):
+    rng = random.Random(hamming * 10 + agree)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for _ in range(60):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), hamming):
+            b ^= 1 << bit
+        rows.append((signed(a), signed(b)))
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = df.select(fp.bands(df["a"], hamming, agree).alias("x"), fp.bands(df["b"], hamming, agree).alias("y")).collect()
+    assert all({tuple(x) for x in r["x"]} & {tuple(y) for y in r["y"]} for r in got)
+    assert fp.blocks_that_agree(100, 3) == 1 and fp.blocks_that_agree(10**6, 3) == 2 and fp.blocks_that_agree(10**9, 3) == 3
