@@ -26,4 +26,15 @@ shares AS (SELECT page_id, count(*) AS c FROM marked GROUP BY 1) SELECT w.page_i
 g AS (SELECT DISTINCT page_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT page_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5)), n AS (SELECT page_id, count(*) AS n FROM g GROUP BY 1),
 both_ AS (SELECT a.page_id AS page_a, b.page_id AS page_b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.page_id < b.page_id GROUP BY 1, 2)
 SELECT page_a, page_b FROM both_ JOIN n x ON x.page_id = page_a JOIN n y ON y.page_id = page_b WHERE c / (x.n + y.n - c) >= 0.6""",
+    "p3_clean": f"""WITH {_LINES}, raw AS (SELECT page_id, i - 1 AS block_no, t, len(texts) AS n FROM (SELECT page_id, texts, unnest(range(1, len(texts) + 1)) AS i, unnest(texts) AS t FROM pages)),
+gone AS (SELECT DISTINCT l.page_id, l.block_no FROM lines l JOIN repeated r ON l.host = r.host AND l.k = r.k),
+left_ AS (SELECT page_id, count(*) AS kept, string_agg(t, chr(10) ORDER BY block_no) AS text FROM raw ANTI JOIN gone USING (page_id, block_no) GROUP BY 1)
+SELECT p.page_id, CAST(len(p.texts) AS BIGINT) AS n_blocks, coalesce(kept, 0) AS kept, coalesce(text, '') AS text FROM pages p LEFT JOIN left_ USING (page_id)""",
 }
+_PAIRS = ORACLES["p4_found"].replace("\nSELECT page_a, page_b FROM both_", ", pairs AS (SELECT page_a, page_b, c = x.n AND c = y.n AS same FROM both_").replace(">= 0.6", ">= 0.6)")
+ORACLES["p4_groups"] = f"""{_PAIRS.replace('WITH ok', 'WITH RECURSIVE ok', 1)},
+rep AS (SELECT n.page_id, least(n.page_id, coalesce(min(p.page_a), n.page_id)) AS representative FROM n LEFT JOIN pairs p ON p.page_b = n.page_id AND p.same GROUP BY n.page_id),
+links AS (SELECT DISTINCT a.representative AS a, b.representative AS b FROM pairs p JOIN rep a ON a.page_id = p.page_a JOIN rep b ON b.page_id = p.page_b WHERE NOT p.same),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+class AS (SELECT node, min(other) AS class_id FROM reach GROUP BY 1), degree AS (SELECT a AS node, count(*) AS n_links FROM both_ways GROUP BY 1)
+SELECT rep.page_id, representative, coalesce(class_id, representative) AS class_id, coalesce(n_links, 0) AS n_links FROM rep LEFT JOIN class ON class.node = representative LEFT JOIN degree ON degree.node = representative"""
