@@ -31,6 +31,22 @@ gone AS (SELECT DISTINCT l.page_id, l.block_no FROM lines l JOIN repeated r ON l
 left_ AS (SELECT page_id, count(*) AS kept, string_agg(t, chr(10) ORDER BY block_no) AS text FROM raw ANTI JOIN gone USING (page_id, block_no) GROUP BY 1)
 SELECT p.page_id, CAST(len(p.texts) AS BIGINT) AS n_blocks, coalesce(kept, 0) AS kept, coalesce(text, '') AS text FROM pages p LEFT JOIN left_ USING (page_id)""",
 }
+_SPACE = r"[\t-\r \x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _parts(of: str) -> str:
+    return f"list_filter(list_transform({of}, lambda x: regexp_replace(regexp_replace(x, '^{_SPACE}+', ''), '{_SPACE}+$', '')), lambda x: x <> '')"
+
+
+_SENTENCES = f"string_split(regexp_replace(regexp_replace(low, '([.!?。！？]){_SPACE}+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
+ORACLES["p2_share"] = f"""WITH {_PAGES}, t AS (SELECT page_id, lower(array_to_string(texts, chr(10))) AS low, {_WORDS.format("array_to_string(texts, chr(10))")} AS words FROM pages),
+l AS (SELECT *, {_parts('string_split(low, chr(10))')} AS lines, {_parts(_SENTENCES)} AS sentences FROM t),
+grams AS (SELECT page_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT page_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5)),
+again AS (SELECT page_id, i FROM grams QUALIFY row_number() OVER (PARTITION BY page_id, gram ORDER BY i) > 1), runs AS (SELECT page_id, count(*) AS n FROM again GROUP BY 1),
+marked AS (SELECT page_id, count(DISTINCT p) AS n FROM (SELECT page_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1)
+SELECT l.page_id, len(words) AS n_words, coalesce(marked.n, 0) AS repeated_words, coalesce(runs.n, 0) AS repeated_runs, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS repeated_lines,
+len(sentences) AS n_sentences, len(sentences) - len(list_distinct(sentences)) AS repeated_sentences, CASE WHEN len(words) > 0 THEN coalesce(marked.n, 0) / len(words) ELSE 0.0 END AS word_share
+FROM l LEFT JOIN runs USING (page_id) LEFT JOIN marked USING (page_id)"""
 _PAIRS = ORACLES["p4_found"].replace("\nSELECT page_a, page_b FROM both_", ", pairs AS (SELECT page_a, page_b, c = x.n AND c = y.n AS same FROM both_").replace(">= 0.6", ">= 0.6)")
 ORACLES["p4_groups"] = f"""{_PAIRS.replace('WITH ok', 'WITH RECURSIVE ok', 1)},
 rep AS (SELECT n.page_id, least(n.page_id, coalesce(min(p.page_a), n.page_id)) AS representative FROM n LEFT JOIN pairs p ON p.page_b = n.page_id AND p.same GROUP BY n.page_id),
