@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom import config
-from sparkloom.functions import classify
+from sparkloom.functions import classify, urls
+from sparkloom.operators.sequence import ranked
 
 
 def prose_length(blocks: Column) -> Column:
@@ -49,13 +50,15 @@ def reject_counters(outcomes: DataFrame) -> DataFrame:
 
 
 def reject_samples(outcomes: DataFrame, n: int = config.SAMPLES) -> DataFrame:
-    """The first ``n`` rejects of each reason by ``seq``: ``reason, rank, seq, url, detail``.
+    """The first ``n`` rejects of each reason by ``seq``: ``reason, rank, seq, url, detail``, fit to be shown.
 
+    URLs lose credentials, query and fragment; details are on one line, without secrets, and cut.
     Spark keeps the first ``n`` of each reason in every partition before the shuffle (a group limit of the window).
     """
     rows = outcomes.where("reason is not null")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("reason").orderBy("seq")))
-    return ranked.where(F.col("rank") <= n).select("reason", "rank", "seq", "url", "detail")
+    placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("reason").orderBy("seq")))
+    kept = placed.where(F.col("rank") <= n)
+    return kept.select("reason", "rank", "seq", urls.sample_url(urls.url_parts(F.col("url")), F.col("url")).alias("url"), classify.clean_detail(F.col("detail")).alias("detail"))
 
 
 def crawl_report(counters: DataFrame, links_stored: Column) -> DataFrame:
@@ -71,6 +74,29 @@ def failure_summary(runs: DataFrame) -> DataFrame:
     return caused.groupBy("cause").agg(F.count("*").alias("n_runs"), F.sum(F.coalesce("pages_saved", F.lit(0))).alias("n_pages"))
 
 
+def failure_lines(runs: DataFrame, folder: str) -> DataFrame:
+    """The failure report as text: ``part, n, line``, to be read in order of ``part`` and ``n``.
+
+    ``runs``: ``run_id, seed, created_at_utc, purged_at_utc, pages_saved, error_summary`` of failed runs, one row each.
+    Part 1 has the totals, part 2 the causes (most pages first, then most runs, then by name), part 3 the runs,
+    newest first, two lines each; without runs, part 1 says so.
+    """
+    causes = failure_summary(runs)
+    wide = causes.agg(F.max(F.char_length("cause")).alias("wide"))
+    totals = failure_totals(runs)
+    kept = F.when(F.col("total") > F.col("purged"), F.format_string(", %d not purged", F.col("total") - F.col("purged"))).otherwise("")
+    head = F.when(F.col("total") == 0, F.array(F.concat(F.lit("No failure post-mortems in "), F.lit(folder)))).otherwise(F.array(F.format_string("%d failure post-mortem(s) in %s", F.col("total"), F.lit(folder)), F.concat(F.format_string("  %d purged (%d page(s) gone)", "purged", "pages_lost"), kept)))
+    first = totals.select(F.lit(1).alias("part"), F.posexplode(head).alias("n", "line")).withColumn("n", F.col("n").cast("bigint") + 1)
+    order = F.row_number().over(Window.orderBy(F.desc("n_pages"), F.desc("n_runs"), "cause")).cast("bigint")
+    padded = F.rpad("cause", wide.scalar(), " ")
+    second = causes.withColumn("n", order).select(F.lit(2).alias("part"), "n", F.format_string("  %s  %3d run(s)  %5d page(s)", padded, F.col("n_runs"), F.col("n_pages")).alias("line"))
+    gone = F.when(F.col("purged_at_utc").isNotNull() & (F.trim("purged_at_utc") != ""), "purged    ").otherwise("not purged")
+    newest = ranked(runs.withColumn("_all", F.lit(1)), "_all", [F.col("created_at_utc").desc_nulls_last(), F.col("run_id").asc()], "n")
+    texts = F.array(F.format_string("  %s  %s  %5d page(s)  %s  %s", F.col("created_at_utc"), gone, F.coalesce("pages_saved", F.lit(0)), F.col("run_id"), F.col("seed")), F.concat(F.lit("      "), classify.failure_cause(F.col("error_summary"))))
+    third = newest.select(F.lit(3).alias("part"), F.col("n").alias("run"), F.posexplode(texts).alias("k", "line")).select("part", (F.col("run") * 2 - 1 + F.col("k")).alias("n"), "line")
+    return first.unionByName(second).unionByName(third)
+
+
 def failure_totals(runs: DataFrame) -> DataFrame:
     purged = F.col("purged_at_utc").isNotNull() & (F.trim("purged_at_utc") != "")
     return runs.agg(F.count("*").alias("total"), F.count_if(purged).alias("purged"), F.coalesce(F.sum(F.when(purged, F.coalesce("pages_saved", F.lit(0)))), F.lit(0)).alias("pages_lost"))

@@ -133,9 +133,17 @@ ORACLES: dict[str, str] = {
     "quota_report": f"WITH {_FRONTIER} SELECT site, section, count(*) FILTER (outcome = 'admitted') AS n_admitted, count(*) FILTER (outcome = 'section') AS n_by_section, count(*) FILTER (outcome = 'share') AS n_by_share FROM decided GROUP BY 1, 2",
     "budget_cut": f"WITH {_FRONTIER} SELECT site, place, url FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY rank) AS place FROM decided WHERE outcome = 'admitted') WHERE place <= 20",
     "reject_counters": f"WITH {_STATELESS} SELECT {', '.join(f'count(*) FILTER (reason = {r!r}) AS {r}' for r in config.REJECT_REASONS)} FROM judged",
-    "reject_samples": f"WITH {_STATELESS} SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY seq) AS rank, seq, url, detail FROM judged WHERE reason IS NOT NULL QUALIFY rank <= {config.SAMPLES}",
+    "reject_samples": f"WITH {_STATELESS} SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY seq) AS rank, seq, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS url, detail FROM judged WHERE reason IS NOT NULL QUALIFY rank <= {config.SAMPLES}",
     "early_abort": f"WITH o AS (SELECT CAST(user_id % 20 AS VARCHAR) AS run, event_id AS seq, CASE WHEN event_type = 'error' THEN 'barren' WHEN event_type = 'purchase' AND value >= 100 THEN 'saved' END AS outcome FROM events), r AS (SELECT run, seq, outcome, count(*) FILTER (outcome = 'barren') OVER w AS barren, count(*) FILTER (outcome = 'saved') OVER w AS saved FROM o WHERE outcome IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT run, seq, barren, saved FROM r WHERE outcome = 'barren' AND barren >= {config.ABORT_AFTER} AND saved * {config.ABORT_RATIO} < barren QUALIFY row_number() OVER (PARTITION BY run ORDER BY seq) = 1",
     "failure_causes": f"WITH {_LAST_RUN}, f AS (SELECT *, {_ON} AS onn FROM runs) SELECT {_CAUSE} AS cause, count(*) AS n_runs, CAST(sum(coalesce(pages_saved, 0)) AS BIGINT) AS n_pages FROM f GROUP BY 1",
+    "failure_lines": f"""WITH f AS (SELECT DISTINCT * FROM crawl_runs), g AS (SELECT *, {_ON} AS onn, trim(coalesce(purged_at_utc, '')) <> '' AS gone FROM f), c AS (SELECT *, {_CAUSE} AS cause FROM g),
+t AS (SELECT count(*) AS total, count(*) FILTER (gone) AS purged, CAST(coalesce(sum(coalesce(pages_saved, 0)) FILTER (gone), 0) AS BIGINT) AS lost FROM c),
+k AS (SELECT cause, count(*) AS n_runs, CAST(sum(coalesce(pages_saved, 0)) AS BIGINT) AS n_pages FROM c GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY created_at_utc DESC NULLS LAST, run_id) AS n FROM c)
+SELECT 1 AS part, 1 AS n, CASE WHEN total = 0 THEN 'No failure post-mortems in data/failures' ELSE total || ' failure post-mortem(s) in data/failures' END AS line FROM t
+UNION ALL SELECT 1, 2, '  ' || purged || ' purged (' || lost || ' page(s) gone)' || CASE WHEN total > purged THEN ', ' || (total - purged) || ' not purged' ELSE '' END FROM t WHERE total > 0
+UNION ALL SELECT 2, row_number() OVER (ORDER BY n_pages DESC, n_runs DESC, cause), printf('  %s  %3d run(s)  %5d page(s)', rpad(cause, CAST((SELECT max(length(cause)) FROM k) AS INTEGER), ' '), n_runs, n_pages) FROM k
+UNION ALL SELECT 3, 2 * n - 1, printf('  %s  %s  %5d page(s)  %s  %s', created_at_utc, CASE WHEN gone THEN 'purged    ' ELSE 'not purged' END, coalesce(pages_saved, 0), run_id, seed) FROM r
+UNION ALL SELECT 3, 2 * n, '      ' || cause FROM r""",
     "failure_totals": "WITH f AS (SELECT DISTINCT * FROM crawl_runs WHERE lower(trim(status)) IN ('failed', 'cancelled')) SELECT count(*) AS total, count(*) FILTER (trim(coalesce(purged_at_utc, '')) <> '') AS purged, CAST(coalesce(sum(coalesce(pages_saved, 0)) FILTER (trim(coalesce(purged_at_utc, '')) <> ''), 0) AS BIGINT) AS pages_lost FROM f",
     "run_reconcile": f"WITH {_LAST_RUN}, {_PRESENCE}, j AS (SELECT r.*, coalesce(p.kind, 'unknown') AS kind, p.remote_status FROM runs r LEFT JOIN presence p USING (run_id) WHERE status IN ('pending', 'running')), o AS (SELECT run_id, status, pages_saved, CASE WHEN pages_saved % 4 = 0 THEN 'skipped_live' WHEN pages_saved IS NULL THEN 'problem' WHEN pages_saved < {config.STALE_MINUTES} THEN 'skipped_recent' WHEN kind = 'unknown' OR (kind = 'present' AND remote_status IS NULL) THEN 'unknown' WHEN kind = 'present' AND remote_status = 'complete' THEN 'skipped_complete' ELSE 'reconciled' END AS outcome FROM j) SELECT run_id, outcome, CASE WHEN outcome = 'reconciled' THEN 'run ended without a record: ' || status || ' for ' || pages_saved || ' minutes' END AS summary FROM o",
     "run_superseded": f"WITH {_LAST_RUN}, {_PRESENCE} SELECT r.run_id, CASE WHEN r.pages_saved % 4 = 0 OR coalesce(p.kind, 'unknown') = 'present' THEN 'kept' WHEN p.kind = 'absent' THEN 'removed' ELSE 'unknown' END AS outcome FROM runs r LEFT JOIN presence p USING (run_id) WHERE status = 'complete'",

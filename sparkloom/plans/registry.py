@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from sparkloom.functions import fingerprint as fp
 from sparkloom.operators import admission, dedup, frontier, reports, runs
 from sparkloom.operators.sequence import ranked
 from sparkloom.plans.oracles import ORACLES
-from sparkloom.session import Query, table
+from sparkloom.session import Query, local_folder, table
 from sparkloom.sources import readers, writers
 from sparkloom.streaming import stateful
 
@@ -361,6 +360,12 @@ def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.failure_summary(runs.normal_runs(table(spark, sf_dir, "crawl_runs")))
 
 
+@query
+def failure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failure report as lines of text; all run records are taken as failed, as in `failure_causes`, for the tables hold few that are."""
+    return reports.failure_lines(table(spark, sf_dir, "crawl_runs").distinct(), "data/failures")
+
+
 @query
 def failure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.failure_totals(table(spark, sf_dir, "crawl_runs").distinct().where("lower(trim(status)) in ('failed', 'cancelled')"))
@@ -454,7 +459,7 @@ def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark, "stream-")
     return os.path.join(base, f"stream-{uuid.uuid4().hex}")
 
 

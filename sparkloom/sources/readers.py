@@ -51,29 +51,37 @@ def is_index(xml: Column) -> Column:
     return xml.rlike(r"(?i)<sitemapindex[\s>]")
 
 
-def load_sitemaps(roots: DataFrame, files: DataFrame, scope: DataFrame, levels: int = 5) -> tuple[DataFrame, DataFrame]:
+def load_sitemaps(roots: DataFrame, files: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages of sites' sitemaps, and one row per site about the loading.
 
     ``roots(site, sitemap_url)``, ``files(sitemap_url, status, body)`` (a file without a row failed), ``scope(site, seed)``.
     First frame: ``site, url, member_key``, distinct, same-site, locale-normalised; empty for a site with a
-    failed file. Second: ``site, n_files, n_urls, has_map, failed, truncated``. At most 40 files and 50,000 URLs of a
-    site are used, in order; ``truncated`` says that a limit or the depth of indexes stopped the work.
+    failed file. Second: ``site, n_files, n_urls, has_map, failed, truncated``. At most 40 files with content and 50,000
+    URLs of a site are used, in order; absent files do not use up the 40. At most twice as many files are put in line;
+    indexes may lie in each other to any depth within that. ``truncated`` says that a limit stopped the work.
     """
-    by_file = Window.partitionBy("site").orderBy("level", "position", "sitemap_url")
-    seen, loaded, cut = None, None, None
+    most, at = 2 * config.SITEMAP_FILES, Window.partitionBy("site").orderBy("level", "position", "sitemap_url")
+    loaded, cut = None, None
     todo = roots.select("site", "sitemap_url", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("position")).dropDuplicates(["site", "sitemap_url"])
-    for level in range(levels):
-        read = checkpoint(todo.join(files, "sitemap_url", "left").withColumn("kind", classify.fetch_kind(F.col("status"))))
-        loaded = read if loaded is None else loaded.unionByName(read)
-        seen = loaded.select("site", "sitemap_url")
-        children = read.where((F.col("kind") == "ok") & is_index(F.col("body"))).select("site", F.col("position").alias("up"), F.posexplode(locations(F.col("body"))).alias("p", "sitemap_url"))
-        todo = checkpoint(children.select("site", "sitemap_url", F.lit(level + 1).alias("level"), (F.col("up") * 100_000 + F.col("p")).alias("position")).dropDuplicates(["site", "sitemap_url"]).join(seen, ["site", "sitemap_url"], "left_anti"))
-        if todo.isEmpty():
-            break
-    cut = todo.select("site").distinct().withColumn("deep", F.lit(True))
-    numbered = loaded.withColumn("n", F.row_number().over(by_file))
-    used = numbered.where(F.col("n") <= config.SITEMAP_FILES)
-    status = numbered.groupBy("site").agg(F.count("*").alias("files"), F.max((F.col("kind") == "failed") & (F.col("n") <= config.SITEMAP_FILES)).alias("failed"))
+    # Ends: each round puts new files in line, and a site has at most ``most``.
+    while loaded is None or not todo.isEmpty():
+        read = todo.join(files, "sitemap_url", "left").withColumn("kind", classify.fetch_kind(F.col("status")))
+        loaded = checkpoint(read if loaded is None else loaded.unionByName(read))
+        lined = loaded.groupBy("site").agg(F.count("*").alias("lined"), F.max("level").alias("deepest"))
+        newest = loaded.join(lined, "site").where("level = deepest and kind = 'ok'").where(is_index(F.col("body")))
+        children = newest.select("site", "lined", "level", F.col("position").alias("up"), F.posexplode(locations(F.col("body"))).alias("p", "sitemap_url"))
+        children = children.select("site", "lined", "sitemap_url", (F.col("level") + 1).alias("level"), (F.col("up") * 100_000 + F.col("p")).alias("position"))
+        new = children.groupBy("site", "sitemap_url").agg(F.min(F.struct("level", "position", "lined")).alias("x")).select("site", "sitemap_url", "x.*").join(loaded.select("site", "sitemap_url"), ["site", "sitemap_url"], "left_anti")
+        placed = checkpoint(new.withColumn("place", F.col("lined") + F.row_number().over(at)))
+        over = placed.where(F.col("place") > most).select("site").distinct()
+        cut = over if cut is None else cut.union(over).distinct()
+        todo = placed.where(F.col("place") <= most).select("site", "sitemap_url", "level", "position")
+    cut = cut.withColumn("deep", F.lit(True))
+    # A file is read as long as fewer files with content than the limit come before it.
+    numbered = loaded.withColumns({"n": F.row_number().over(at), "read_before": F.count_if(F.col("kind") == "ok").over(at.rowsBetween(Window.unboundedPreceding, -1))})
+    reached = F.coalesce("read_before", F.lit(0)) < config.SITEMAP_FILES
+    used = numbered.where(reached)
+    status = numbered.groupBy("site").agg(F.count("*").alias("files"), F.count_if(reached).alias("read"), F.max((F.col("kind") == "failed") & reached).alias("failed"))
     locs = used.where((F.col("kind") == "ok") & ~is_index(F.col("body"))).select("site", "n", F.posexplode(locations(F.col("body"))).alias("p", "loc"))
     locs = locs.join(scope, "site").withColumns({"u": urls.url_parts(F.col("loc")), "s": urls.url_parts(F.col("seed"))})
     own = locs.where(urls.is_same_site(F.col("u"), F.col("s"))).withColumn("l", urls.url_parts(urls.locale_normalize(F.col("u"))))
@@ -83,8 +91,8 @@ def load_sitemaps(roots: DataFrame, files: DataFrame, scope: DataFrame, levels:
     kept = ranked.where(F.col("rank") <= config.SITEMAP_URLS).join(status.where("not failed").select("site"), "site", "left_semi")
     counts = ranked.groupBy("site").agg(F.count("*").alias("urls"))
     meta = status.join(counts, "site", "left").join(cut, "site", "left").select(
-        "site", F.least("files", F.lit(config.SITEMAP_FILES)).alias("n_files"), F.when(F.col("failed"), 0).otherwise(F.least(F.coalesce("urls", F.lit(0)), F.lit(config.SITEMAP_URLS))).alias("n_urls"),
-        (~F.col("failed") & (F.coalesce("urls", F.lit(0)) > 0)).alias("has_map"), "failed", ((F.col("files") > config.SITEMAP_FILES) | (F.coalesce("urls", F.lit(0)) > config.SITEMAP_URLS) | F.coalesce("deep", F.lit(False))).alias("truncated"),
+        "site", F.col("read").alias("n_files"), F.when(F.col("failed"), 0).otherwise(F.least(F.coalesce("urls", F.lit(0)), F.lit(config.SITEMAP_URLS))).alias("n_urls"),
+        (~F.col("failed") & (F.coalesce("urls", F.lit(0)) > 0)).alias("has_map"), "failed", ((F.col("files") > F.col("read")) | (F.coalesce("urls", F.lit(0)) > config.SITEMAP_URLS) | F.coalesce("deep", F.lit(False))).alias("truncated"),
     )
     return kept.select("site", "url", "member_key"), meta
 
@@ -148,6 +156,15 @@ def robots_gate(pages: DataFrame, files: DataFrame, agent: str) -> DataFrame:
     return rows.select(*pages.columns, F.pandas_udf(apply, "boolean")(classify.fetch_kind(F.col("status")), F.col("body"), path).alias("robots_allowed"))
 
 
+def merge_site_maps(seeds: DataFrame, pages: DataFrame, meta: DataFrame) -> DataFrame:
+    """URLs of the maps of all seeds of a run, ``run_id, url``, distinct: none if a seed's map failed to load.
+
+    ``seeds(run_id, site)``; ``pages`` and ``meta`` of ``load_sitemaps``.
+    """
+    failed = seeds.join(meta.where("failed").select("site"), "site", "left_semi").select("run_id").distinct()
+    return seeds.join(failed, "run_id", "left_anti").join(pages.select("site", "url"), "site").select("run_id", "url").distinct()
+
+
 def harvested_links(rows: DataFrame, most: int = 2000) -> DataFrame:
     """Links of one loaded page per site: ``rows(site, position, href, page_url)`` to distinct links of the page's own origin, in order, at most ``most``."""
     parsed = rows.withColumns({"u": urls.url_parts(F.col("href")), "b": urls.url_parts(F.col("page_url"))})

@@ -73,6 +73,35 @@ def test_sitemaps(spark):
     assert [r["sitemap_url"] for r in readers.robots_sitemaps(robots).collect()] == ["https://a/s.xml"]
 
 
+def test_sitemap_limits_and_merged_seeds(spark):
+    loc = lambda *u: "<urlset>" + "".join(f"<loc>{x}</loc>" for x in u) + "</urlset>"
+    index = lambda *u: "<sitemapindex>" + "".join(f"<loc>{x}</loc>" for x in u) + "</sitemapindex>"
+    files = [("far0", 200, index("far1"))] + [(f"far{k}", 200, index(f"far{k + 1}")) for k in range(1, 9)] + [("far9", 200, loc("https://far.com/deep"))]
+    # Fifty absent files before the one that is there; a hundred children, of which only some come into line.
+    files += [("gaps", 200, index(*(f"g{k}" for k in range(50)), "g_ok"))] + [(f"g{k}", 404, None) for k in range(50)] + [("g_ok", 200, loc("https://gaps.com/x"))]
+    files += [("wide", 200, index(*(f"w{k}" for k in range(100))))] + [(f"w{k}", 200, loc(f"https://wide.com/{k}")) for k in range(100)] + [("bad", 500, None)]
+    sites = ("far", "gaps", "wide", "bad")
+    pages, meta = readers.load_sitemaps(
+        spark.createDataFrame([(s, "far0" if s == "far" else s) for s in sites], "site string, sitemap_url string"), spark.createDataFrame(files, "sitemap_url string, status int, body string"),
+        spark.createDataFrame([(s, f"https://{s}.com") for s in sites], "site string, seed string"),
+    )
+    found = {r["site"]: (r["n_files"], r["n_urls"], r["failed"], r["truncated"]) for r in meta.collect()}
+    assert found == {"far": (10, 1, False, False), "gaps": (52, 1, False, False), "wide": (40, 39, False, True), "bad": (1, 0, True, False)}
+    seeds = spark.createDataFrame([("one", "far"), ("one", "gaps"), ("two", "far"), ("two", "bad")], "run_id string, site string")
+    assert {tuple(r) for r in readers.merge_site_maps(seeds, pages, meta).collect()} == {("one", "https://far.com/deep"), ("one", "https://gaps.com/x")}
+
+
+def test_failure_lines(spark):
+    runs_ = [("a", "https://a.com", "2025-01-01", None, 3, "Cancelled by operator"), ("b", "https://b.com", "2025-01-02", "2025-01-03", 12, "no usable pages"), ("c", "https://c.com", "2025-01-03", " ", None, "Cancelled by operator")]
+    df = spark.createDataFrame(runs_, "run_id string, seed string, created_at_utc string, purged_at_utc string, pages_saved long, error_summary string")
+    lines = [r["line"] for r in reports.failure_lines(df, "x/failures").orderBy("part", "n").collect()]
+    assert lines[:2] == ["3 failure post-mortem(s) in x/failures", "  1 purged (12 page(s) gone), 2 not purged"] and lines[3].split("  ")[1] == "cancelled by operator" and lines[3].endswith("  2 run(s)      3 page(s)")
+    assert lines[4].startswith("  2025-01-03  not purged      0 page(s)  c  https://c.com") and lines[5] == "      cancelled by operator" and len(lines) == 10
+    assert [r["line"] for r in reports.failure_lines(df.limit(0), "x").collect()] == ["No failure post-mortems in x"]
+    shown = reports.reject_samples(spark.createDataFrame([(1, "https://me:pw@a.com/x?token=1#y", "got\ntoken: abc", "request_failed")], "seq long, url string, detail string, reason string")).first()
+    assert (shown["url"], shown["detail"]) == ("https://a.com/x", "got token: [redacted]")
+
+
 def test_robots(spark):
     body = "User-agent: Loom\nUser-agent: other\nDisallow: /a\nAllow: /a/b$\n\nUser-agent: *\nDisallow: /\nAllow: /*.html"
     files = spark.createDataFrame([("https://a.com", 200, body), ("https://b.com", 404, None), ("https://c.com", 500, None)], "origin string, status int, body string")
