@@ -46,7 +46,7 @@ FAILED_PAGES, SHORT_SHARE = 2, 0.9
 # Syntaxes of unfilled placeholders (outside code).
 PLACEHOLDER = (
     r"\{\{[^{}]{1,60}\}\}|\{%[^{}%]{1,60}%\}|<%=?[^<>%]{1,60}%>|\$\{[^{}]{1,60}\}|%%[A-Za-z][A-Za-z0-9_. ]{0,40}%%|\[\[[^\[\]]{1,60}\]\]"
-    r"|\*\|[A-Z0-9_: ]{1,40}\|\*|##[A-Z][A-Z0-9_. ]{0,40}##|__[A-Z][A-Z0-9_.]{0,40}__|\{[A-Za-z][A-Za-z0-9_. ]{1,40}\}"
+    r"|\*\|[A-Z0-9_: ]{1,40}\|\*|@@[A-Z][A-Z0-9_. ]{0,40}@@|##[A-Z][A-Z0-9_. ]{0,40}##|__[A-Z][A-Z0-9_.]{0,40}__|\{[A-Za-z][A-Za-z0-9_. ]{1,40}\}"
     r"|\[(?:[Ii]nsert|INSERT) [^\[\]]{1,60}\]|\[(?:[Yy]our|YOUR) [^\[\]]{1,60}\]|<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*>"
 )
 # Whole segments of filler.

@@ -126,7 +126,7 @@ def test_closing_words_and_sources(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("Dear {{ first_name }}, hello", 1), ("Hello %%NAME%%", 1), ("[Insert date here]", 1), ("The {% block x %} y", 1), ("for <AUTHOR>", 1), ("*|CITY|* now", 1), ("a [sic] b", 0), ("__NAME__", 1), ("{headline}", 1), ("50%% off", 0),
+    ("Dear {{ first_name }}, hello", 1), ("Hello %%NAME%%", 1), ("[Insert date here]", 1), ("The {% block x %} y", 1), ("for <AUTHOR>", 1), ("*|CITY|* now", 1), ("for @@CITY@@ only", 1), ("mail me@@home", 0), ("a [sic] b", 0), ("__NAME__", 1), ("{headline}", 1), ("50%% off", 0),
     ("Lorem ipsum dolor sit amet vestibulum lacinia", 2), ("asdf asdf test 12", 2), ("TODO: write copy", 2), ("Designers like lorem ipsum because nobody reads it at all, they say", 0), ("Sample heading", 2), ("A sample heading that is longer", 0),
     ("404 - Page not found.", 3), ("Please enable JavaScript to continue", 3), ("Bitte aktivieren Sie JavaScript, um fortzufahren.", 3), ("Return to the home page", 4), ("The ledger closes on Friday.", 0),
 ])
@@ -158,6 +158,36 @@ def test_labels_spread_to_near_copies(spark):
     assert near <= 3 and got == {b"a" * 16: residue.NOTICE, b"b" * 16: residue.NOTICE}
 
 
+def test_templates_are_found_by_their_components(spark, monkeypatch):
+    rng = random.Random(18)
+    real = lambda: f"<p>{' '.join(prose(rng, 100))}</p>"
+    say = "<h1>{}</h1><p>The {} desk has closed this drawer until the morning of another day.</p>"
+    foot = "<p>Every reader of the {} circle gets the printed catalogue on Tuesdays for free</p>"
+    things = ["copper", "walnut", "linen", "marble", "amber", "cedar"]
+    # The same unknown notice with another word each time: twice as a failed request, else as if all was well.
+    rows = [(k, say.format(" ".join(prose(rng, 3)), x), 503 if k < 2 else 200) for k, x in enumerate(things)]
+    # A line of long pages is no notice, though two failed requests returned nothing else.
+    rows += [(20 + k, real() + foot.format(x), 200) for k, x in enumerate(things)] + [(30 + k, foot.format(x), 404) for k, x in enumerate(things[:2])]
+    # One failed page alone is no evidence, nor are two short pages that did not fail.
+    rows += [(40, "<p>Sorry for the wait, our shelves are being filled by hand this week.</p>", 503), (50, "<p>A short poem about seven quiet lamps and one loud kettle</p>", 200), (51, "<p>A short poem about seven quiet lamps and one loud teapot</p>", 200)]
+    df = spark.createDataFrame([(k, c, s, None) for k, c, s in rows], "page_id long, content_html string, status_code int, failure_reason string")
+    found = lambda: {r["page_id"] for r in residue.residue_pages(df).where("is_residue").collect()}
+    assert found() == set(range(6))
+    # Without components none of them is found: no pattern knows them.
+    monkeypatch.setattr(residue, "spread_labels", lambda rows, *more: rows.where(f"label != {residue.NONE}").select("digest", "label"))
+    assert found() == set()
+
+
+def test_a_known_notice_names_its_template(spark):
+    say = "The {} desk could not find that paper in any of its many drawers today."
+    rows = [(0, f"<p>{say.format('copper')}</p>", None)] + [(k, f"<p>{say.format(x).replace('could not find that', 'was unable to see your')}</p>", None) for k, x in ((1, "walnut"), (2, "linen"))]
+    # This one differs from the first in one word and from the pattern in it.
+    rows += [(3, f"<p>{say.format('copper').replace('find that', 'find their')}</p>", None)]
+    df = spark.createDataFrame(rows, "page_id long, content_html string, failure_reason string")
+    got = {r["page_id"]: r["is_residue"] for r in residue.residue_pages(df).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True}
+
+
 def test_tables_find_all_within_three_bits(spark):
     rng = np.random.Generator(np.random.PCG64(15))
     a = rng.integers(0, 1 << 63, 200, dtype=np.int64)
