@@ -19,7 +19,8 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetitive(table(spark, sf_dir, "ingest_pages")).where("confirmed").select("page_id")
+    # All pages of the definition, those under a cutoff too.
+    return repetition.judged(table(spark, sf_dir, "ingest_pages")).where("confirmed").select("page_id")
 
 
 def p2_share(spark: SparkSession, sf_dir: str) -> DataFrame:

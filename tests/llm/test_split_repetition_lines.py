@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from sparkloom.llm import repetition, site_lines, split
 from sparkloom.llm.common import host_of
+from sparkloom.llm.queries import p2_found
 
 BLOCKS = "array<struct<text:string,cells:array<string>>>"
 
@@ -97,6 +98,35 @@ def test_cutoffs_decide_which_pages_are_rejected(spark, monkeypatch):
     assert repetition.repetitive(df).count() == 0
 
 
+def test_cutoffs_come_from_all_pages(spark, monkeypatch):
+    df = spark.range(20_050).selectExpr("id AS page_id", "'o' AS origin", f"CAST(array(struct(concat('page ', id) AS text, null AS cells)) AS {BLOCKS}) AS blocks")
+    labelled, select = [], repetition.select_cutoffs
+    monkeypatch.setattr(repetition, "select_cutoffs", lambda holdout, **k: labelled.append(holdout.count()) or select(holdout, **k))
+    assert repetition.repetitive(df).count() == 0 and labelled == [20_050]
+
+
+def test_pages_under_a_cutoff_are_found(spark, tmp_path):
+    rng = random.Random(10)
+    fresh = lambda n: [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(2)) for _ in range(n)]
+    rows = []
+    for k in range(630):
+        lines, again = fresh(10), " ".join(fresh(15))
+        # Good pages repeat short lines but no run of words, and lift the cutoff over the score of the others.
+        rows.append((k, "o", [(t, None) for t in (*lines, *reversed(lines))] if k < 600 else [(" ".join((again, *fresh(10), again)), None)]))
+    df = pages_of(spark, rows)
+    want = {k for k, _, b in rows for n, m in [brute_repeats("\n".join(t for t, _ in b))] if m / n >= 0.3}
+    assert want == set(range(600, 630)) and repetition.repetitive(df).count() == 0
+    df.write.parquet(str(tmp_path / "ingest_pages.parquet"))
+    assert {r["page_id"] for r in p2_found(spark, str(tmp_path)).collect()} == want
+
+
+def test_binomial_bound_of_many_trials():
+    # Normal tail of the same error (3.0902 deviations at 0.001), and few enough terms for a whole corpus.
+    n, k = 5_000_000, 100_000
+    p = repetition.binomial_upper(k, n, 1e-3)
+    assert (p * n - k) / math.sqrt(n * p * (1 - p)) == pytest.approx(3.0902, rel=2e-3)
+
+
 @pytest.mark.parametrize(("k", "n", "error"), [(0, 10, 0.05), (3, 40, 0.01), (10, 10, 0.1), (0, 0, 0.1), (50, 4000, 1e-4)])
 def test_binomial_bound(k, n, error):
     p = repetition.binomial_upper(k, n, error)
