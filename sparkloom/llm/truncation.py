@@ -41,6 +41,8 @@ _ENDING = re.compile(r"\b([^\W_]+)(?:[.!?。！？]|[ \t]*\r?\n)")
 #: Scripts without spaces between words: there, prose without a closing mark has no closing word that could be known.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 CLOSED, MARKED, PROSE, ITEM, LABELLED = range(5)
+#: Bits by which ids are sorted out before texts are shuffled, 64 in a row.
+BITS = 1 << 24
 
 
 def closing(text: str) -> tuple[int, str]:
@@ -155,6 +157,19 @@ def ends_early(short: str, long: str) -> int:
     return -1
 
 
+def perhaps_in(docs: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is in ``wanted``, and of the others about one in ``bits / n`` for ``n`` wanted ids.
+
+    A bit is set for the hash of each wanted id, ``bits`` being a multiple of 64. However many ids there are, at most
+    ``bits / 64`` rows are broadcast, and no row of ``docs`` is shuffled.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    hashed = wanted.select(at.alias("at")).select(F.shiftright("at", 6).alias("part"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    parts = hashed.groupBy("part").agg(F.bit_or("bit").alias("set"))
+    marked = docs.withColumn("at", at).withColumn("part", F.shiftright("at", 6)).join(F.broadcast(parts), "part")
+    return marked.where("getbit(set, cast(at & 63 as int)) = 1").select(*docs.columns)
+
+
 def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, state, word, terminality, aligned, is_truncated`` of each document with a non-blank text.
 
@@ -169,7 +184,8 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
     words = rows.where("digest is null").groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("ends").alias("ends"), F.sum("finals").alias("finals"))
 
     # One document for each text; those without a closing mark are sought among the beginnings of those as long or longer.
-    single = each.where("size(bands) > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "bands", "sketches")).alias("x")).select("x.*")
+    # Repeated rows of a document share its text, so the wide rows are shuffled once, by text.
+    single = rows.where("digest is not null and size(bands) > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "state", "n_words", "bands", "sketches")).alias("x")).select("x.*")
     # Sketch and length share one number, so the many rows of beginnings are short; lengths only sort out candidates.
     length = F.shiftleft(F.least(F.col("n_words"), F.lit((1 << 26) - 1)).cast("bigint"), 2 * HASHES)
     level = F.floor(F.col("band") / BANDS).cast("int")
@@ -182,7 +198,8 @@ def truncated(docs: DataFrame, similarity: float = 0.8, ids: str = "doc_id", tex
     pairs = sought.join(starts, "key").where((F.col("short") != F.col("long")) & longer & (differ <= tolerance(similarity, HASHES)))
     pairs = checkpoint(pairs.select("short", "long").distinct())
     wanted = pairs.select(F.explode(F.array("short", "long")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Not a semi-join: Spark would do that before the join that sorts out rows, and shuffle all texts.
+    texts = perhaps_in(docs, wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"])
     sides = pairs.join(texts.toDF("short", "text_s"), "short").join(texts.toDF("long", "text_l"), "long")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

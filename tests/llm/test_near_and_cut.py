@@ -95,6 +95,35 @@ def test_deep_cuts_are_aligned(spark, share):
     assert all(found[24 + k] == 0 for k in range(12))
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_only_texts_of_pairs_are_shuffled(spark):
+    rng = random.Random(20)
+    texts = [" ".join(prose(rng, 4_000)) for _ in range(200)]
+    cut = [" ".join(t.split(" ")[: 2_000 + k]).rstrip(".") for k, t in enumerate(texts[:3])]
+    df = spark.createDataFrame(list(enumerate([*texts, *cut])), "doc_id long, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    found = {r["doc_id"] for r in truncation.truncated(df).where("aligned = 1").collect()}
+    assert found == {200, 201, 202} and shuffled(spark) - before < 0.25 * sum(map(len, texts))
+
+
+def test_ids_are_sorted_out_without_loss(spark):
+    docs = spark.range(-5_000, 5_000).selectExpr("id AS doc_id", "'x' AS text")
+    wanted = docs.where("doc_id % 10 = 0").select("doc_id")
+    got = truncation.perhaps_in(docs, wanted)
+    kept = [r["doc_id"] for r in got.collect()]
+    assert got.columns == docs.columns and len(kept) == len(set(kept)) < 1_050 and set(kept) >= set(range(-5_000, 5_000, 10))
+    # With far too few bits all pass, none is lost or repeated.
+    assert sorted(r["doc_id"] for r in truncation.perhaps_in(docs, wanted, 64).collect()) == list(range(-5_000, 5_000))
+    assert truncation.perhaps_in(docs, wanted.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("short", "long", "want"), [
     ("a b c d e f g h i jk", "a b c d e f g h i jkl m n.", 1), ("a b c d e f g h i j", "a b c d e f g h i j k l.", 1), ("a b c d e f g h i j", "a b c d e f g h i j. K l.", 1), ("a b c d e f g h i j", "a b c d e f g h i j.", 0), ("a b c d e f g h i j", "a b c d e f g h i j.\nK", 0),
     ("a b c d e f g h i j", "a b c d e f g h i j", 0), ("a b c d e f g h i j [...]", "a b c d e f g h i j k", 1), ("a b c d e f g h i j", "q r s t u v w x y z j k", -1), ("a b", "a b c", -1), ("a b c d e f g h i j", "a b c d e f g h i j\nnext", 0),
