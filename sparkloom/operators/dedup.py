@@ -7,14 +7,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from sparkloom import config
 from sparkloom.functions import fingerprint as fp
+from sparkloom.operators.components import connected_components
 from sparkloom.operators.sequence import in_sequence
 from sparkloom.session import checkpoint
 
 DECISION = "site string, seq long, outcome string, kept_seq long, distance int"
+#: Rounds over all rows before the rest of a chain is decided in order.
+ROUNDS = 4
 
 
 def last_aliases(learned: DataFrame) -> DataFrame:
@@ -59,15 +63,31 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return out.withColumn("first_of", F.coalesce("first_of", order)).withColumn("is_first", F.col(order) == F.col("first_of")).select(*rows.columns, "first_of", "is_first")
 
 
+def _rejected_in_order(pairs: DataFrame) -> DataFrame:
+    """``id`` of the rows of ``pairs(id_a, id_b)`` that an earlier accepted row rejects, each component in order of ``id_b``."""
+    kind = pairs.schema["id_b"].dataType
+    of = connected_components(pairs, "id_a", "id_b").withColumnRenamed("node", "id_b")
+
+    def decide(rejected: set, row: dict) -> tuple:
+        hit = row["id_a"] not in rejected
+        if hit:
+            rejected.add(row["id_b"])
+        return row["id_b"], hit
+
+    decided = in_sequence(pairs.join(of, "id_b"), "component", "id_b", ["component", "id_a", "id_b"], set, decide, f"id {kind.simpleString()}, hit boolean", [to_arrow_type(kind), pa.bool_()])
+    return checkpoint(decided.where("hit").select("id").distinct())
+
+
 def accept_near(rows: DataFrame, hamming: int = config.NEAR_HAMMING, least: int = config.NEAR_CHARS) -> DataFrame:
     """First-wins acceptance over a whole collection: ``id, outcome, kept_id, distance``.
 
     ``rows``: ``id`` (the order of arrival), ``content_hash``, ``simhash``, ``length``, ``raw_length``. A row is a
     duplicate_content of the first accepted row with its content, else (from ``least`` collapsed characters)
     a near_duplicate of the nearest accepted earlier row within ``hamming`` bits (the least id breaks ties),
-    else accepted; only accepted rows of at least ``least`` raw characters join the index. Each round decides
-    all rows whose earlier neighbours are decided, so the rounds are as many as the longest chain.
+    else accepted; only accepted rows of at least ``least`` raw characters join the index. Each of ``ROUNDS`` rounds
+    decides all rows whose earlier neighbours are decided; what longer chains leave is decided in order within each component.
     """
+    rows = checkpoint(rows.select("id", "content_hash", "simhash", "length", "raw_length"))  # texts are hashed once
     first = rows.groupBy("content_hash").agg(F.min("id").alias("kept"))
     each = checkpoint(rows.join(first, "content_hash").select("id", "kept", "simhash", "length", "raw_length"))
     heads = each.where("id = kept")
@@ -76,14 +96,17 @@ def accept_near(rows: DataFrame, hamming: int = config.NEAR_HAMMING, least: int
     tested = heads.where(F.col("length") >= least).select(F.col("id").alias("id_b"))
     pairs = checkpoint(pairs.join(tested, "id_b", "left_semi"))
     # Undecided rows are those with an earlier neighbour; everyone else is accepted at once.
-    todo, rejected, accepted = pairs, None, None
+    todo, rejected, rounds = pairs, None, 0
     while not todo.isEmpty():
+        if rounds == ROUNDS:
+            rejected = rejected.unionByName(_rejected_in_order(todo))
+            break
+        rounds += 1
         later = todo.select(F.col("id_b").alias("id")).distinct()
         free = todo.select(F.col("id_a").alias("id")).distinct().join(later, "id", "left_anti")
         free = checkpoint(free)
         hit = checkpoint(todo.join(free.withColumnRenamed("id", "id_a"), "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct())
         rejected = hit if rejected is None else rejected.unionByName(hit)
-        accepted = free if accepted is None else accepted.unionByName(free)
         # Pairs of a rejected row say nothing more; those of accepted ones are used up.
         rest = todo.join(free.withColumnRenamed("id", "id_a"), "id_a", "left_anti")
         rest = rest.join(hit.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(hit.withColumnRenamed("id", "id_b"), "id_b", "left_anti")

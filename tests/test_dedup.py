@@ -135,3 +135,39 @@ def test_prints_within_the_distance_share_a_table(spark, hamming, agree):
     got = df.select(fp.bands(df["a"], hamming, agree).alias("x"), fp.bands(df["b"], hamming, agree).alias("y")).collect()
     assert all({tuple(x) for x in r["x"]} & {tuple(y) for y in r["y"]} for r in got)
     assert fp.blocks_that_agree(100, 3) == 1 and fp.blocks_that_agree(10**6, 3) == 2 and fp.blocks_that_agree(10**9, 3) == 3
+
+
+def test_tables_of_prints_are_not_broadcast(spark, tmp_path):
+    rng = random.Random(5)
+    spark.createDataFrame([(k, rng.getrandbits(63)) for k in range(3000)], "id long, simhash long").write.parquet(str(tmp_path / "prints"))
+    df = spark.read.parquet(str(tmp_path / "prints"))
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    lines = fp.near_pairs(df, 7)._jdf.queryExecution().executedPlan().toString().split("\n")
+    sent = [itertools.takewhile(lambda x, k=k: depth(x) > depth(lines[k]), lines[k + 1 :]) for k, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert not [x for own in sent for x in own if "Generate" in x or "FlatMapGroupsInArrow" in x]
+
+
+def test_near_pairs_with_longer_keys_cells_and_scopes(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    prints = [(k, (base[k % 15] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) - (1 << 63), "st"[k % 7 < 3]) for k in range(240)]
+    df = spark.createDataFrame([*prints, (500, prints[0][1], None)], "id long, simhash long, site string")
+    every = {(a, b, bin((x ^ y) & (1 << 64) - 1).count("1"), s == t) for (a, x, s), (b, y, t) in itertools.combinations(prints, 2)}
+    monkeypatch.setattr(fp, "CELL", 50)
+    for hamming, agree in ((0, 1), (1, 1), (3, 3), (7, 2), (7, 4)):
+        monkeypatch.setattr(fp, "blocks_that_agree", lambda n, h, agree=agree: agree)
+        got = sorted(map(tuple, fp.near_pairs(df.where("site is not null"), hamming).collect()))
+        assert got == sorted(t[:3] for t in every if t[2] <= hamming)
+    assert sorted(map(tuple, fp.near_pairs(df, 7, "site").collect())) == sorted(t[:3] for t in every if t[2] <= 7 and t[3])
+
+
+def test_accept_near_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    chain, rows = 0, []
+    for k in range(21):
+        rows.append((k, f"h{k}", chain, 900, 900))
+        chain ^= 7 << 3 * k
+    cut, made = dedup.checkpoint, []
+    monkeypatch.setattr(dedup, "checkpoint", lambda df: made.append(1) or cut(df))
+    got = {r["id"]: (r["outcome"], r["kept_id"]) for r in dedup.accept_near(spark.createDataFrame(rows, "id long, content_hash string, simhash long, length int, raw_length int")).collect()}
+    assert got == {k: ("near_duplicate", k - 1) if k % 2 else ("saved", None) for k in range(21)}
+    assert len(made) <= 20
